@@ -12,9 +12,11 @@ Texts are encoded whole, however long. Decoding null ids gives empty bytes; an i
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -46,7 +48,8 @@ def split_of(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str, pattern: str):
-    """Built once in each Python worker."""
+    """Built once in each Python worker, which encodes in its one thread: Spark's tasks are the parallel ones."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, chars = read_ranks(path), byte_characters()
@@ -61,15 +64,27 @@ def tokenizer(path: str, pattern: str):
 
 
 @lru_cache(maxsize=4)
-def byte_table(path: str) -> tuple[bytes | None, ...]:
-    """The bytes of each id, taken back from its characters by the reversed byte table."""
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, taken back from their characters by the reversed byte table, and where
+    each id's start and how many they are (-1: there is no such id)."""
     chars = byte_characters()
     back = {c: b for b, c in enumerate(chars)}
     ranks = read_ranks(path)
     table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = bytes(back[c] for c in "".join(chars[b] for b in token))
-    return tuple(table)
+    size = np.array([-1 if t is None else len(t) for t in table], np.int64)
+    return np.frombuffer(b"".join(t or b"" for t in table), np.uint8), np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), size
+
+
+def joined(ids: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of lists of ids (list k: ids[ends[k]:ends[k + 1]]) one after the other, and where each list's bytes end."""
+    data, start, size = byte_table(path)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
+        raise ValueError("an id is outside the vocabulary")
+    n = size[ids]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return data[np.repeat(start[ids] - upto[:-1], n) + np.arange(upto[-1])], upto[ends]
 
 
 def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
@@ -87,7 +102,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         each = tok.encode_batch if offsets else tok.encode_batch_fast
-        for part in pieces(batches, text):
+        for part in pieces(batches, text, most_bytes=1 << 18):
             found = each([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()], add_special_tokens=False)
             new = [_lists([e.ids for e in found], pa.int32())]
             if offsets:
@@ -104,12 +119,13 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] | None
     name = own_name(rows, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                col = part.column(part.schema.get_field_index(ids))
-                out = pa.array([b"".join([table[i] for i in x or ()]) for x in col.to_pylist()], pa.binary())
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                col = part.column(part.schema.get_field_index(ids)).fill_null([])
+                sizes = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))])
+                data, ends = joined(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes, path)
+                out = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, name])
 
     return rows.mapInArrow(run, with_fields(rows, (name, "binary")))
