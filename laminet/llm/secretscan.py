@@ -88,7 +88,10 @@ class Markov:
 def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, bool]]:
     """At most SAMPLE_RUNS labelled runs of the SAMPLE_DOCS documents with the lowest hashes, and SYNTHETIC random strings."""
     out: list[tuple[str, bool]] = []
-    for (t,) in docs.select(F.col(text), F.xxhash64(doc_id, text).alias("h")).where(F.col(text).isNotNull()).orderBy("h").limit(SAMPLE_DOCS).select(text).toLocalIterator():
+    rows = docs.select(F.col(text), F.xxhash64(doc_id, text).alias("h")).where(F.col(text).isNotNull())
+    # By the number of documents, a share in which the lowest hashes are likely enough found: no more is sorted.
+    share = min(1.0, (2 * SAMPLE_DOCS + 100) / max(1, docs.count()))
+    for (t,) in rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share).orderBy("h").limit(SAMPLE_DOCS).select(text).toLocalIterator():
         spans = base_spans(t)
         for m in WORD.finditer(t):
             out.append((m.group(), any(s < m.end() and m.start() < e for s, e, _ in spans)))
