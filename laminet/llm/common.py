@@ -6,12 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laminet.session import cut
+from laminet.session import cut, discard
 
-__all__ = ["cut", "own_name", "pieces", "table", "with_fields"]
+__all__ = ["cut", "discard", "marked", "marks", "own_name", "pieces", "table", "with_fields"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +48,27 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     for name, kind in fields:
         schema = schema.add(name, T.DataType.fromDDL(kind))
     return schema
+
+
+#: Bits of the table that tells which documents may have to be looked up. It is of a fixed size; beyond what it can tell apart, more
+#: documents than needed are looked up, and the joins that follow are exact.
+MARKS = 1 << 20
+
+
+def marks(ids: DataFrame) -> bytes:
+    """A table of MARKS bits with those of the ids' hashes set."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    out = bytearray(MARKS // 8)
+    for block, bits in ids.groupBy(F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit))).toLocalIterator():
+        start = (block - 1) * 4096
+        have = out[start : start + 4096]
+        out[start : start + 4096] = bytes(x | y for x, y in zip(have, bits, strict=False))
+    return bytes(out)
+
+
+def marked(doc_id: Column, table: bytes) -> Column:
+    # bitmap_bucket_number and bitmap_bit_position: bit n of block b is number (b - 1) * 32768 + n, and n = number - 1 there.
+    bit = F.pmod(F.xxhash64(doc_id), F.lit(MARKS))
+    place = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.lit(table), F.floor(place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return F.call_function("getbit", byte, (place % 8).cast("int")) == 1

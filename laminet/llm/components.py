@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminet.llm.common import cut
+from laminet.llm.common import cut, discard
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -29,8 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
-        large = cut(large.where("u <> v").distinct(), "large")
+        old, large = now, cut(large.where("u <> v").distinct(), "large")
         small = large.join(_least(large), F.col("u") == F.col("_u"))
         small = small.select(F.col("v").alias("u"), F.col("_m").alias("v")).union(small.select("u", F.col("_m").alias("v")))
         now = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        discard(old, large)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

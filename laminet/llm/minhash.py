@@ -12,8 +12,8 @@ similarity. Points are made only up to the time by which all registers are likel
 further where one is still empty.
 
 Bands of ROWS registers propose candidates. Equal texts are one class from the start. In each bucket all are verified
-against the least member only, on their whole bags; members that fall out meet each other in the next round, and those
-near enough by the triangle inequality also meet the members that stayed. Members that a chain of links already joins
+against the least member only, on their whole bags; members that fall out are tried with a few that stayed, then with all of those that can
+be near by the triangle inequality, and meet each other in the next round. Members that a chain of links already joins
 needn't meet. Should many rounds not empty a bucket, what is left is compared in full, so no bucket is capped.
 
 Cases: null texts and texts without a word are like nothing and stay alone; rows that share an id count as one document; null ids get a null
@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminet.llm.common import cut, pieces
+from laminet.llm.common import cut, discard, marked, marks, pieces
 from laminet.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-ROUNDS = 4
+ROUNDS = 3
+#: Times that what fell out of a bucket is tried with another of its members, before all that can be near are compared.
+DRAWS = 2
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,7 +165,8 @@ def similarity(a: list[str], b: list[str]) -> list[float]:
 def verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """pairs (a, b) with their exact similarity, sim."""
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("t is not null").join(need, "id")
+    need = cut(need, "need")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(need))).join(need, "id")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +177,17 @@ def verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links (a, b, sim) among the members of buckets (band, id), and (id, component) of what they join."""
-    links = found = None
+def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame | None:
+    """(id, component) of what verified links join among the members of buckets (band, id)."""
+    found = None
 
     def add(pairs: DataFrame) -> DataFrame:
-        nonlocal links, found
+        nonlocal found
         got = cut(verify(pairs, docs, doc_id, text), "verified")
-        new = got.where(F.col("sim") >= least)
-        links = new if links is None else links.union(new)
-        found = cut(components(links), "components")
+        new = got.where(F.col("sim") >= least).select("a", "b")
+        if found is None or not new.isEmpty():
+            # Of earlier links their components' stars are enough.
+            found = cut(components(new if found is None else found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "components")
         return got
 
     def meet(active: DataFrame) -> DataFrame:
@@ -193,18 +197,28 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
     def labelled(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
+    def apart(rows: DataFrame) -> DataFrame:
+        """Whether a member isn't in its head's component by now."""
+        return labelled(labelled(rows.drop("ci", "ch", "out"), "id", "ci"), "head", "ch").withColumn("out", F.col("ci") != F.col("ch"))
+
     for _ in range(ROUNDS):
-        rows = cut(meet(active), "buckets")
-        if rows.isEmpty():
-            return links, found
-        got = add(rows.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-        rows = rows.join(got.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim"), ["head", "id"], "left")
-        rows = labelled(labelled(rows, "id", "ci"), "head", "ch").withColumn("out", F.col("ci") != F.col("ch"))
-        rows = cut(rows, "rounds")
+        met = cut(meet(active), "buckets")
+        if met.isEmpty():
+            return found
+        got = add(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+        rows = cut(apart(met.join(got.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim"), ["head", "id"], "left")), "rounds")
+        discard(met)
+        for draw in range(DRAWS):
+            # What fell out of a bucket is tried with one of those that stayed, in each bucket another.
+            fell = rows.where("out")
+            if fell.isEmpty():
+                return found
+            one = rows.where("not out").groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band", F.lit(draw))).alias("x"))
+            tries = fell.select("band", F.col("id").alias("y")).join(one, "band").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            add(cut(tries, "tries"))
+            rows = cut(apart(rows), "rounds")
         fell = rows.where("out")
-        if fell.isEmpty():
-            return links, found
-        # One that fell out can be near a member that stayed only if their distances to the head differ by no more than the radius.
+        # One that is still out can be near a member that stayed only if their distances to the head differ by no more than the radius.
         radius = 1 - least
         near = fell.where(1 - F.col("sim") <= 2 * radius + 1e-9).select("band", F.col("id").alias("x"), F.col("sim").alias("sx"))
         stayed = rows.where("not out and id <> head").select("band", F.col("id").alias("y"), F.col("sim").alias("sy"))
@@ -218,7 +232,7 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
     rest = cut(one.join(other, "band").where("id < b and ci <> cb").select(F.col("id").alias("a"), "b").distinct(), "rest")
     if not rest.isEmpty():
         add(rest)
-    return links, found
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -228,7 +242,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     exact = cut(some.groupBy("f1", "f2").agg(F.min("id").alias("head")).where("head is not null"), "exact")
     heads = some.join(exact.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "head"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("id") == F.col("head")))
     active = heads.select("id", F.explode("bands").alias("band")).distinct()
-    _, found = link(cut(active, "bands"), docs, doc_id, text, least)
+    bands = cut(active, "bands")
+    found = link(bands, docs, doc_id, text, least)
+    discard(bands)
     if found is not None:
         exact = exact.join(found, exact["head"] == found["id"], "left").select("f1", "f2", F.coalesce("component", "head").alias("class_id"))
     else:
