@@ -52,7 +52,7 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
 
 #: Bits of the table that tells which documents may have to be looked up. It is of a fixed size; beyond what it can tell apart, more
 #: documents than needed are looked up, and the joins that follow are exact.
-MARKS = 1 << 20
+MARKS = 1 << 19
 
 
 def marks(ids: DataFrame) -> bytes:

@@ -166,15 +166,20 @@ def verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     """pairs (a, b) with their exact similarity, sim."""
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     need = cut(need, "need")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(need))).join(need, "id")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(need)))
+    # Written by a job of its own: plans with the table of marks in them are long to print.
+    texts = cut(texts, "texts")
+    named = texts.join(need, "id")
+    both = pairs.join(named.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "ta"):
             sim = similarity(part.column(2).to_pylist(), part.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
+    discard(texts, need)
+    return out
 
 
 def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame | None:
@@ -183,7 +188,7 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
 
     def add(pairs: DataFrame) -> DataFrame:
         nonlocal found
-        got = cut(verify(pairs, docs, doc_id, text), "verified")
+        got = verify(pairs, docs, doc_id, text)
         new = got.where(F.col("sim") >= least).select("a", "b")
         if found is None or not new.isEmpty():
             # Of earlier links their components' stars are enough.
