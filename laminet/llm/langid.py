@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in pieces(batches, text):
+        for part in pieces(batches, text, most_bytes=1 << 19):
             n = part.num_rows
             col = part.column(part.schema.get_field_index(text))
             best, score, bits = np.full(n, -1), np.zeros(n), np.full(n, np.nan)

@@ -139,7 +139,7 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(id, f1, f2, bands array<long>): fingerprints are null, and bands empty, for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "t"):
+        for part in pieces(batches, "t", most_bytes=1 << 20):
             doc, element, weight, prints = bags(part.column(1).to_pylist())
             some = np.bincount(doc, minlength=part.num_rows) > 0
             keys = band_keys(signatures(doc, element, weight, part.num_rows)) if len(doc) else np.zeros((part.num_rows, BANDS), np.int64)
@@ -173,7 +173,7 @@ def verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     both = pairs.join(named.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "ta"):
+        for part in pieces(batches, "ta", most_bytes=1 << 19):
             sim = similarity(part.column(2).to_pylist(), part.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
