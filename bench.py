@@ -9,7 +9,7 @@ import time
 from laminet.plans import catalog, queries  # noqa: F401
 from laminet.session import local_session
 
-HEADLINE = ["edges_aggregate_degree", "edges_aggregate_raw", "net_summary", "layer_stats", "coupling_existing", "supra_adjacency_multilayer", "layer_cooccurrence", "encode_multiedgelist", "subnetwork_names", "hin_decompose_tf", "triangles", "modularity_by_nation", "codelength_by_nation", "powerlaw_alpha_by_xmin", "enrichment_counts", "rule_pairs_topk", "temporal_slices", "pagerank_k10"]
+HEADLINE = ["edges_aggregate_degree", "edges_aggregate_raw", "net_summary", "layer_stats", "coupling_existing", "supra_adjacency_multilayer", "layer_cooccurrence", "encode_multiedgelist", "subnetwork_names", "hin_weights_ig", "triangles", "modularity_by_nation", "codelength_by_nation", "powerlaw_alpha_by_xmin", "enrichment_counts", "rule_pairs_topk", "temporal_slices", "pagerank_k10"]
 
 
 def main() -> None:
