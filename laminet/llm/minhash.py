@@ -11,10 +11,10 @@ hash; points beyond the weight don't count. A register keeps its least point: tw
 similarity. Points are made only up to the time by which all registers are likely to be filled, and
 further where one is still empty.
 
-Bands of ROWS registers propose candidates. Equal texts are one class from the start. In each bucket all are verified
-against the least member only, on their whole bags; members that fall out are tried with a few that stayed, then with all of those that can
-be near by the triangle inequality, and meet each other in the next round. Members that a chain of links already joins
-needn't meet. Should many rounds not empty a bucket, what is left is compared in full, so no bucket is capped.
+Bands of ROWS registers propose candidates. Equal texts are one class from the start. In each bucket all are verified on their whole bags
+against one member only, that whose buckets hold the most members in all. Members that fall out are tried with a few that stayed; those that
+are still out then meet all texts of such buckets with which they share a rare shingle as an exact prefix filter asks. Members that a chain of
+links already joins needn't meet. No bucket is capped and none compared in full.
 
 Cases: null texts and texts without a word are like nothing and stay alone; rows that share an id count as one document; null ids get a null
 class unless their text has an equal with an id; an empty table gives an empty one; texts are read whole.
@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from laminet.llm.common import cut, discard, marked, marks, pieces
 from laminet.llm.components import components
@@ -37,8 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
-#: Times that what fell out of a bucket is tried with another of its members, before all that can be near are compared.
+#: Times that what fell out of a bucket is tried with another of its members, before the prefix filter.
 DRAWS = 2
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -196,8 +196,12 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
         return got
 
     def meet(active: DataFrame) -> DataFrame:
-        heads = active.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-        return active.join(heads.select("band", "head"), "band")
+        """Members of buckets of two or more, with the head: the one whose buckets hold the most, as a text does that the others are copies of."""
+        sizes = active.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        met = cut(active.join(sizes, "band"), "met")
+        scored = met.join(met.groupBy("id").agg(F.sum("n").alias("score")), "id")
+        heads = scored.groupBy("band").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("head"))
+        return met.join(heads, "band")
 
     def labelled(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
@@ -206,40 +210,67 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
         """Whether a member isn't in its head's component by now."""
         return labelled(labelled(rows.drop("ci", "ch", "out"), "id", "ci"), "head", "ch").withColumn("out", F.col("ci") != F.col("ch"))
 
-    for _ in range(ROUNDS):
-        met = cut(meet(active), "buckets")
-        if met.isEmpty():
-            return found
-        got = add(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-        rows = cut(apart(met.join(got.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim"), ["head", "id"], "left")), "rounds")
-        discard(met)
-        for draw in range(DRAWS):
-            # What fell out of a bucket is tried with one of those that stayed, in each bucket another.
-            fell = rows.where("out")
-            if fell.isEmpty():
-                return found
-            one = rows.where("not out").groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band", F.lit(draw))).alias("x"))
-            tries = fell.select("band", F.col("id").alias("y")).join(one, "band").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            add(cut(tries, "tries"))
-            rows = cut(apart(rows), "rounds")
-        fell = rows.where("out")
-        # One that is still out can be near a member that stayed only if their distances to the head differ by no more than the radius.
-        radius = 1 - least
-        near = fell.where(1 - F.col("sim") <= 2 * radius + 1e-9).select("band", F.col("id").alias("x"), F.col("sim").alias("sx"))
-        stayed = rows.where("not out and id <> head").select("band", F.col("id").alias("y"), F.col("sim").alias("sy"))
-        cross = near.join(stayed, "band").where(F.abs(F.col("sy") - F.col("sx")) <= radius + 1e-9)
-        cross = cut(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cross")
-        if not cross.isEmpty():
-            add(cross)
-        active = fell.select("band", "id")
-    left = cut(meet(active).select("band", "id"), "left")
-    one, other = labelled(left, "id", "ci"), labelled(left, "id", "ci").select("band", F.col("id").alias("b"), F.col("ci").alias("cb"))
-    rest = cut(one.join(other, "band").where("id < b and ci <> cb").select(F.col("id").alias("a"), "b").distinct(), "rest")
-    if not rest.isEmpty():
-        add(rest)
+    met = cut(meet(active), "buckets")
+    if met.isEmpty():
+        return found
+    add(met.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
+    rows = cut(apart(met), "rounds")
+    for draw in range(DRAWS):
+        # What fell out of a bucket is tried with one of those that stayed, in each bucket another.
+        fell = rows.where("out and n > 2")
+        if fell.isEmpty():
+            break
+        one = rows.where("not out").groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band", F.lit(draw))).alias("x"))
+        tries = fell.select("band", F.col("id").alias("y")).join(one, "band").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        add(cut(tries, "tries"))
+        rows = cut(apart(rows), "rounds")
+    fell = rows.where("out and n > 2").select("band", "id")
+    if not fell.isEmpty():
+        # In a bucket of two, both have been compared.
+        beside = rows.join(fell.select("band").distinct(), "band", "left_semi").select("id").distinct()
+        members = cut(beside.join(fell.select("id", F.lit(True).alias("fell")).distinct(), "id", "left"), "members")
+        pairs = labelled(labelled(sharing(members, docs, doc_id, text, least), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+        pairs = cut(pairs, "sharing")
+        if not pairs.isEmpty():
+            add(pairs)
+        discard(members)
+    discard(met)
     return found
 
 
+def sharing(members: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """Pairs (a, b) of members (id, fell boolean), one or both of which fell, that can have a similarity of least: exact prefix filter.
+
+    The shingles of all members are ordered from rare to common among them. Two bags that are that similar share one of the
+    first shingles of each, as many as hold more than 1 - least of its weight. A text with much of its own has only
+    shingles there that no other has, and so meets nobody. A shared shingle with too much weight before it, on either side, doesn't count.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(members)))
+    texts = cut(texts, "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "t", most_bytes=1 << 19):
+            doc, element, weight, _ = bags(part.column(2).to_pylist())
+            mass = np.bincount(doc, weight, part.num_rows).astype(np.int64)
+            for i in range(0, len(doc), 1 << 16):
+                d = doc[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), pa.array(element[i : i + (1 << 16)].view(np.int64)), pa.array(weight[i : i + (1 << 16)]), pa.array(mass[d])], ["id", "fell", "e", "w", "m"])
+
+    named = texts.join(members, "id").groupBy("id", "fell", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
+    rows = cut(named.select("id", "fell", "t").mapInArrow(run, "id long, fell boolean, e long, w long, m long"), "shingles")
+    ranked = rows.join(rows.groupBy("e").agg(F.count("*").alias("df")), "e")
+    before = F.sum("w").over(Window.partitionBy("id", "m").orderBy("df", "e").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= (1 - least) * F.col("m") + 1e-9) & (F.col("df") > 1))
+    prefix = cut(prefix.select("e", "id", "m", "before", F.coalesce("fell", F.lit(False)).alias("fell")), "prefixes")
+    one, other = prefix.where("fell").select("e", F.col("id").alias("x"), F.col("m").alias("mx"), F.col("before").alias("bx")), prefix.select("e", F.col("id").alias("y"), F.col("m").alias("my"), F.col("before").alias("by"), "fell")
+    # What can be shared from the first common shingle on must be enough; that of a pair to be found passes.
+    fits = F.least(F.col("mx") - F.col("bx"), F.col("my") - F.col("by")) * (1 + least) >= least * (F.col("mx") + F.col("my")) - 1e-6
+    pairs = one.join(other, "e").where(fits & (F.col("x") != F.col("y")) & (~F.col("fell") | (F.col("x") < F.col("y"))))
+    out = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near")
+    discard(texts, rows, prefix)
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: id, class_id (the least id of its class), kept boolean (it is that one)."""
     signed = cut(sign(docs, doc_id, text), "signed")
