@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Times that what fell out of a bucket is tried with another of its members, before the prefix filter.
-DRAWS = 2
+DRAWS = 1
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
