@@ -132,6 +132,20 @@ def test_minhash_hot_buckets(spark):
     assert all(want[i] == want[got[i]] for i in want)
 
 
+def test_minhash_sharing_misses_no_link(spark):
+    """The prefix filter keeps each similar pair with a text that fell out, also where shingles repeat, and gives each pair once."""
+    base = prose(120, 7)
+    texts = [edited(base, 1 + i % 6, i) for i in range(40)] + [edited(edited(base, 3, 5), 1, 500 + i) for i in range(10)]
+    texts += ["the same line " * n for n in (30, 31, 33, 36, 60)] + ["a b", "a b c", *[prose(100, i) for i in range(5)]]
+    fell = [i % 3 != 0 for i in range(len(texts))]
+    members = spark.createDataFrame([(i, True if f else None) for i, f in enumerate(fell)], "id long, fell boolean")
+    rows = [(r.a, r.b) for r in minhash.sharing(members, docs_of(spark, texts), "doc_id", "text", 0.8).collect()]
+    bags = [bag(t) for t in texts]
+    links = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fell[i] or fell[j]) and jaccard(bags[i], bags[j]) >= 0.8}
+    assert len(rows) == len(set(rows)) and links <= set(rows) and len(links) > 20
+    assert all(a < b and (fell[a] or fell[b]) for a, b in rows)
+
+
 def test_minhash_unbiased():
     rng, off = np.random.default_rng(1), []
     for _ in range(40):
