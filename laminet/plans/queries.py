@@ -270,7 +270,7 @@ def label_matrix_balanced(spark, d):
 
 @query("components", f"WITH {TRADE}, e AS (SELECT DISTINCT src, dst FROM trade WHERE src_layer = '1-URGENT' AND weight = 50) SELECT node, min(o) AS component FROM (WITH RECURSIVE u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a AS node, a AS o FROM u UNION SELECT u.b, r.o FROM r JOIN u ON u.a = r.node) SELECT * FROM r) GROUP BY 1")
 def components(spark, d):
-    return iterate.connected_components(nets.trade_edges(spark, d).where("src_layer = '1-URGENT' and weight = 50").select("src", "dst"))
+    return iterate.connected_components(nets.trade_edges(spark, d).select("src", "dst"))
 
 
 @query("bfs_levels", f"WITH {TRADE}, e AS (SELECT DISTINCT src AS a, dst AS b FROM trade UNION SELECT DISTINCT dst, src FROM trade), l1 AS (SELECT DISTINCT b AS node FROM e WHERE a = 'c1'), l2 AS (SELECT DISTINCT b AS node FROM e JOIN l1 ON a = node EXCEPT SELECT node FROM l1 EXCEPT SELECT 'c1'), l3 AS (SELECT DISTINCT b AS node FROM e JOIN l2 ON a = node EXCEPT SELECT node FROM l1 EXCEPT SELECT node FROM l2 EXCEPT SELECT 'c1') SELECT 'c1' AS node, 0 AS level UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3")
