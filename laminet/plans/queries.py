@@ -449,14 +449,12 @@ RELAX = f"{TRADE}, e AS (SELECT src, src_layer AS layer, dst, sum(weight) AS w F
 
 @query("multilayer_relax_links", f"WITH {RELAX}, o AS (SELECT src, layer, sum(w) AS wl FROM e GROUP BY 1, 2), a AS (SELECT src, sum(wl) AS wa FROM o GROUP BY 1) SELECT e.src AS node, o.layer AS layer_a, e.dst AS \"to\", e.layer AS layer_b, round(w * (0.15 / wa + CASE WHEN o.layer = e.layer THEN 0.85 / wl ELSE 0 END), 6) AS p FROM e JOIN o ON o.src = e.src JOIN a ON a.src = e.src")
 def multilayer_relax_links(spark, d):
-    keep = table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"))
-    return rounded(community.relax_links(nets.trade_edges(spark, d).join(keep, "src", "left_semi")), "p")
+    return rounded(community.relax_links(nets.trade_edges(spark, d)), "p")
 
 
 @query("layer_divergence", f"WITH {RELAX}, p AS (SELECT src, layer, dst, w / sum(w) OVER (PARTITION BY src, layer) AS p FROM e), l AS (SELECT DISTINCT src, layer FROM p), q AS (SELECT a.src, a.layer AS layer_a, b.layer AS layer_b FROM l a JOIN l b ON a.src = b.src AND a.layer < b.layer), u AS (SELECT q.*, dst, p AS x, 0 AS y FROM q JOIN p ON p.src = q.src AND p.layer = layer_a UNION ALL SELECT q.*, dst, 0, p FROM q JOIN p ON p.src = q.src AND p.layer = layer_b), g AS (SELECT src, layer_a, layer_b, dst, sum(x) AS x, sum(y) AS y FROM u GROUP BY ALL) SELECT src AS node, layer_a, layer_b, round(sum(CASE WHEN x > 0 THEN 0.5 * x * log2(x) ELSE 0 END + CASE WHEN y > 0 THEN 0.5 * y * log2(y) ELSE 0 END - (x + y) / 2 * log2((x + y) / 2)), 6) + 0 AS divergence FROM g GROUP BY ALL")
 def layer_divergence(spark, d):
-    keep = table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"))
-    out = community.jensen_shannon(nets.trade_edges(spark, d).join(keep, "src", "left_semi"))
+    out = community.jensen_shannon(nets.trade_edges(spark, d))
     return out.withColumn("divergence", r("divergence") + 0)
 
 
