@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -176,12 +177,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
             return label
 
 
-def bfs(edges: DataFrame, start: DataFrame, directed: bool = False, most: int = 50) -> DataFrame:
-    """(node, level): steps from the start nodes (node)."""
+def bfs(edges: DataFrame, start: DataFrame, directed: bool = False, most: int | None = None) -> DataFrame:
+    """(node, level): steps from the start nodes (node) to all that they reach, or those within most steps."""
     e = cut((edges if directed else symmetrize(edges.select("src", "dst"))).select("src", "dst").distinct(), "edges")
     seen = cut(start.select("node").distinct().withColumn("level", F.lit(0)), "level")
     front = seen
-    for level in range(1, most + 1):
+    for level in count(1) if most is None else range(1, most + 1):
         front = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level))
         front = cut(front, "front")
         if front.isEmpty():

@@ -275,7 +275,7 @@ def components(spark, d):
 
 @query("bfs_levels", f"WITH {TRADE}, e AS (SELECT DISTINCT src AS a, dst AS b FROM trade UNION SELECT DISTINCT dst, src FROM trade), l1 AS (SELECT DISTINCT b AS node FROM e WHERE a = 'c1'), l2 AS (SELECT DISTINCT b AS node FROM e JOIN l1 ON a = node EXCEPT SELECT node FROM l1 EXCEPT SELECT 'c1'), l3 AS (SELECT DISTINCT b AS node FROM e JOIN l2 ON a = node EXCEPT SELECT node FROM l1 EXCEPT SELECT node FROM l2 EXCEPT SELECT 'c1') SELECT 'c1' AS node, 0 AS level UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3")
 def bfs_levels(spark, d):
-    return iterate.bfs(nets.trade_edges(spark, d), spark.createDataFrame([("c1",)], "node string"), most=3)
+    return iterate.bfs(nets.trade_edges(spark, d), spark.createDataFrame([("c1",)], "node string"))
 
 
 STOCH = "st AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM both_ WHERE src <> dst), both_ AS (SELECT src, dst, weight FROM bn UNION ALL SELECT dst, src, weight FROM bn)"
