@@ -547,7 +547,7 @@ def critical_ranks(spark, d):
 
 @query("rank_correlation_network", "WITH v AS (SELECT vec_id AS k, unnest(embedding[1:8])::DOUBLE AS value, unnest(range(8)) AS v FROM embeddings), rk AS (SELECT k, v, rank() OVER (PARTITION BY v ORDER BY value) + (count(*) OVER (PARTITION BY v, value) - 1) / 2.0 AS r FROM v) SELECT a.v AS a, b.v AS b, round(corr(a.r, b.r), 6) AS rho FROM rk a JOIN rk b ON a.k = b.k AND a.v < b.v GROUP BY 1, 2")
 def rank_correlation_network(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode(F.slice("embedding", 1, 8)).alias("v", "value")).withColumns({"v": F.col("v").cast("long"), "value": F.col("value").cast("double")})
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("v", "value")).withColumns({"v": F.col("v").cast("long"), "value": F.col("value").cast("double")})
     return rounded(iterate.correlation_network(e, "k", "v", "value"), "rho")
 
 
