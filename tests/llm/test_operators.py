@@ -14,7 +14,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from laminet.llm import bpe, components, hashtree, langid, linededup, minhash, mixing, mtree, multiindex, perspectives, secretscan
+from laminet.llm import bpe, common, components, hashtree, langid, linededup, minhash, mixing, mtree, multiindex, perspectives, secretscan
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -509,3 +509,12 @@ def test_multi_sequence_order():
     a, b = rng.random(6), rng.random(7)
     got = [a[i] + b[j] for i, j in multiindex.visits(a, b, 1.2)]
     assert got == sorted(got) and len(got) == (np.add.outer(a, b) <= 1.2).sum()
+
+
+def test_marks_hold_ids_of_hash_zero(spark):
+    zero = [587600, 876020, 1235991]  # their hashes are 0 modulo MARKS
+    ids = spark.createDataFrame([(i,) for i in (*zero, 1, 2, 3)], "id long")
+    have = common.marks(ids)
+    assert sum(map(int.bit_count, have)) == 4 and ids.where(common.marked(F.col("id"), have)).count() == 6
+    assert spark.range(10, 1000).where(common.marked(F.col("id"), have)).count() == 0
+    assert ids.where(common.marked(F.col("id"), common.marks(ids.where("id < 4")))).count() == 3
