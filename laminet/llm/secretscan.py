@@ -2,7 +2,8 @@
 
 Base spans come from three patterns. The method adds spans of kind `random`: runs of LEAST or more characters of
 ALPHABET, clear of all base spans, whose log-likelihood ratio between an order-1 character model of random strings and
-one of ordinary identifiers is MARGIN nats or more a character. The models are trained from labelled samples
+one of ordinary identifiers is MARGIN nats or more a character; of other such runs, the stretches of LEAST or more
+characters between separators (what isn't a letter or digit) for which it is. The models are trained from labelled samples
 (text, is_secret): those given, or those that `samples` makes from a bounded part of the documents, where what base
 spans hold is labelled secret and all other runs ordinary, with seeded random strings besides.
 
@@ -13,6 +14,7 @@ own; an empty table gives an empty one; without ordinary samples the ratio is ta
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -35,6 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 LEAST = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+PIECE = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 #: Nats a character by which a run must be likelier as a random string.
 MARGIN = 0.75
@@ -84,6 +87,37 @@ class Markov:
         ratio = self.ratio
         return (ratio["", run[0]] + sum(map(ratio.__getitem__, zip(run, run[1:], strict=False)))) / len(run)
 
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the whole run if it scores MARGIN or more, else of the stretches that do, from a piece's start to a piece's end:
+        the one with most nats beyond MARGIN, up to where no stretch does, then on behind it."""
+        if self.score(run) >= MARGIN:
+            return [(0, len(run))]
+        pieces = [m.span() for m in PIECE.finditer(run)]
+        if not pieces or pieces[0] == (0, len(run)):
+            return []
+        ratio, out, k = self.ratio, [], 0
+        total = [0.0, *itertools.accumulate(ratio[x] - MARGIN for x in zip(["", *run], run, strict=False))]
+        before = {s: total[s + 1] - (ratio["", run[s]] - MARGIN) for s, _ in pieces}
+        while k < len(pieces):
+            best, low, at, w = None, math.inf, 0, k
+            for x in range(k, len(pieces)):
+                end = pieces[x][1]
+                while w <= x and pieces[w][0] <= end - LEAST:
+                    if before[pieces[w][0]] < low:
+                        at = pieces[w][0]
+                        low = before[at]
+                    w += 1
+                beyond = total[end] - low
+                if beyond >= 0 and (best is None or beyond > best[0]):
+                    best = (beyond, at, x)
+                elif best is not None and beyond < 0:
+                    break
+            if best is None:
+                break
+            out.append((best[1], pieces[best[2]][1]))
+            k = best[2] + 1
+        return out
+
 
 def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, bool]]:
     """At most SAMPLE_RUNS labelled runs of the SAMPLE_DOCS documents with the lowest hashes, and SYNTHETIC random strings."""
@@ -101,15 +135,17 @@ def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list
 
 
 def train(labelled: Iterable[tuple[str, bool]]) -> Markov:
-    """Of what is labelled secret, only runs of LEAST characters or more tell of random strings (keywords and short values don't)."""
+    """Of what is labelled secret, only runs of LEAST characters or more tell of random strings (keywords and short values don't).
+    Ordinary runs count in capitals too: they are rare in texts, and hardly seen contexts would be near uniform in both models."""
     labelled = list(labelled)
-    return Markov([t for t, secret in labelled if secret and len(t) >= LEAST], [t for t, secret in labelled if not secret])
+    ordinary = [t for t, secret in labelled if not secret]
+    return Markov([t for t, secret in labelled if secret and len(t) >= LEAST], [*ordinary, *(u for t in ordinary if (u := t.upper()) != t)])
 
 
 def scan_text(text: str, model: Markov) -> tuple[list[Span], list[Span]]:
     """Base spans, and those that the models add."""
     base = base_spans(text)
-    added = [(m.start(), m.end(), 3) for m in RUN.finditer(text) if model.score(m.group()) >= MARGIN and not any(s < m.end() and m.start() < e for s, e, _ in base)]
+    added = [(m.start() + a, m.start() + b, 3) for m in RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in base) for a, b in model.stretches(m.group())]
     return base, added
 
 

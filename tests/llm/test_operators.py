@@ -368,6 +368,22 @@ def test_secret_odd(spark):
     assert secretscan.scan(docs_of(spark, []), m).count() == 0
 
 
+@pytest.mark.parametrize("chars", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_secret_recall_by_prefix_and_length(spark, chars):
+    m = secretscan.train(secretscan.samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    rng = random.Random(6)
+    for prefix in ("", "session_identifier=", "com/oauth/callback/", "my_long_variable_name-"):
+        for n in (20, 40):
+            found = 0
+            for _ in range(100):
+                text = f"see {prefix}{''.join(rng.choices(chars, k=n))} now"
+                start = 4 + len(prefix)
+                base, added = secretscan.scan_text(text, m)
+                found += any(min(e, start + n) - max(s, start) >= 0.8 * n for s, e, _ in base + added)
+            assert found >= 90, (prefix, n, found)
+        assert prefix == "" or secretscan.scan_text(f"see {prefix}identifier_of_the_session now", m)[1] == []
+
+
 # 7 chat
 
 
