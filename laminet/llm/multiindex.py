@@ -3,8 +3,9 @@
 Vectors are scaled to length 1 and cut into halves; each half has a codebook of its own, fitted by k-means on a bounded
 sample (SAMPLE vectors at most), and the pairs of codes form the grid of cells. Every vector is indexed in its own cell. As
 a query it visits cells in ascending order of how far, squared, it lies beyond the borders between its own codes and theirs
-(multi-sequence traversal of the two sorted lists), up to a reach. The reach is set so that of pairs at
-exactly the least cosine, made from the sample by turning vectors in random directions, RECALL or more would be found.
+(multi-sequence traversal of the two sorted lists), up to a reach. The reach is set so that RECALL or more would be found both of
+pairs at exactly the least cosine, made from the sample by turning vectors in random directions, and of the true pairs of PROBES
+sample vectors with all vectors, found by brute force: where vectors vary in few directions, random ones cross borders by less.
 What a visit finds is verified by the cosine in double precision.
 
 A pair is found if either visits the other's cell, and counted once for each. Equal vectors are one entry with a
@@ -33,6 +34,8 @@ from laminet.llm.components import components
 COSINE = 0.95
 RECALL = 0.998
 SAMPLE = 4096
+#: Sample vectors whose true pairs the reach is set by, and steps of its logarithm in an octave (it is rounded up).
+PROBES, STEPS = 2048, 64
 #: Entries of a cell that it should hold on average, and codes that a half may have.
 CELL, MOST_CODES = 64, 512
 BLOCK = 512
@@ -138,8 +141,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     n = entries.count()
     links = counts = None
     if n > 1:
-        drawn = unit([r["v"] for r in entries.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()])
+        rows = entries.select("v", "id").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
+        drawn = unit([r["v"] for r in rows])
         index = Index(drawn, n, cosine)
+        index.reach = max(index.reach, true_reach(entries, index, drawn[:PROBES], np.array([r["id"] for r in rows[:PROBES]]), cosine))
         found = cut(search(entries, index, cosine), "found")
         links = found.where("b is not null").select("a", "b")
         counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
@@ -158,6 +163,39 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def true_reach(entries: DataFrame, index: Index, probes: np.ndarray, ids: np.ndarray, cosine: float, recall: float = RECALL) -> float:
+    """The reach by which that share of the pairs of probes and entries (v, id, copies) is found; 0 if there are none."""
+    halves = [beyond(probes[:, : index.half], index.books[0]), beyond(probes[:, index.half :], index.books[1])]
+    shared = entries.sparkSession.sparkContext.broadcast((index, probes, ids, halves))  # of bounded size
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, x, ids_x, ((i1, h1), (i2, h2)) = shared.value
+        rough = x.astype(np.float32)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                y = unit(batch.column(0).to_pylist())
+                near = rough @ y.astype(np.float32).T >= cosine - 1e-5
+                near &= ids_x[:, None] != batch.column(1).to_numpy()[None]
+                some = np.flatnonzero(near.any(0))
+                if not len(some):
+                    continue
+                y, near = y[some], near[:, some]
+                (j1, g1), (j2, g2) = beyond(y[:, : ix.half], ix.books[0]), beyond(y[:, ix.half :], ix.books[1])
+                i, j = np.nonzero(near)
+                cost = np.minimum(h1[i, j1[j]] + h2[i, j2[j]], g1[j, i1[i]] + g2[j, i2[i]])
+                step, n = np.unique(np.ceil(STEPS * np.log2(np.maximum(cost, 1e-12))).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(n, pa.int64())], ["step", "n"])
+
+    seen = sorted((r["step"], r["n"]) for r in entries.select("v", "id").mapInArrow(costs, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect())
+    left = recall * sum(n for _, n in seen)
+    for step, n in seen:
+        left -= n
+        if left <= 0:
+            return 2 ** (step / STEPS)
+    return 0.0
+
+
 def search(entries: DataFrame, index: Index, cosine: float) -> DataFrame:
     """entries (v, id, copies). Rows (a, b, null): links that join what is linked; rows (a, null, n): n vectors linked with a."""
     shared = entries.sparkSession.sparkContext.broadcast(index)  # two codebooks of bounded size

@@ -520,6 +520,15 @@ def test_multi_index(spark):
     assert multiindex.near_vectors(df.limit(0)).count() == 0
 
 
+def test_multi_index_of_few_directions(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((4000, 4)) @ rng.standard_normal((4, 64)) + 0.02 * rng.standard_normal((4000, 64))).astype(np.float32).tolist()
+    got = multiindex.near_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")).collect()
+    u = multiindex.unit(x)
+    true = int((u @ u.T >= 0.95).sum()) - len(u)
+    assert 0.99 * true <= sum(r.n_links for r in got) <= true
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(2)
     a, b = rng.random(6), rng.random(7)
