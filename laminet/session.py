@@ -36,11 +36,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark's setting by which an execution deletes its shuffle files when it has ended, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: lineage ends there and any executor can read it."""
+    """Writes df as Parquet under the shared folder and reads it back: lineage ends there and any executor can read it. The shuffle files
+    behind it go at once, for nothing reads them again."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
