@@ -55,10 +55,10 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
 MARKS = 1 << 19
 
 
-def marks(ids: DataFrame) -> bytes:
-    """A table of MARKS bits with those of the ids' hashes set; as many as MARKS / 32768 rows of 4 KiB come to the driver, in one job."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1  # number 0 would be in block 0, before the table
-    out = bytearray(MARKS // 8)
+def marks(ids: DataFrame, size: int = MARKS) -> bytes:
+    """A table of size bits with those of the ids' hashes set; as many as size / 32768 rows of 4 KiB come to the driver, in one job."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(size)) + 1  # number 0 would be in block 0, before the table
+    out = bytearray(size // 8)
     for block, bits in ids.groupBy(F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit))).collect():
         start = (block - 1) * 4096
         have = out[start : start + 4096]
@@ -66,9 +66,9 @@ def marks(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def marked(doc_id: Column, table: bytes) -> Column:
+def marked(doc_id: Column, table: bytes, size: int = MARKS) -> Column:
     # bitmap_bucket_number and bitmap_bit_position: bit n of block b is number (b - 1) * 32768 + n, and n = number - 1 there.
-    bit = F.pmod(F.xxhash64(doc_id), F.lit(MARKS)) + 1
+    bit = F.pmod(F.xxhash64(doc_id), F.lit(size)) + 1
     place = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(F.lit(table), F.floor(place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     return F.call_function("getbit", byte, (place % 8).cast("int")) == 1
