@@ -2,7 +2,9 @@
 
 A rank file (base64 token, rank) becomes a BPE model whose merges are the one split by which each token arises when
 only lower ranks have been applied; whole pieces that are tokens are taken as they are. That gives the ids which merging
-by lowest rank gives. Bytes are mapped to printable characters by the usual byte table; decoding reverses it.
+by lowest rank gives. Bytes are mapped to printable characters by the usual byte table; decoding takes the characters of
+the vocabulary's tokens and reverses it. `round_trip` encodes and decodes in one pass over the batches, and `split_text` is for
+those who decode ids that were cut anywhere, such as context windows.
 
 Cases: a null text encodes like an empty one (no ids); an empty table gives an empty table; repeated rows are encoded
 each; any other columns are carried through, and names of new columns get underscores where the table has them already.
@@ -46,7 +48,13 @@ def split_of(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-@lru_cache(maxsize=4)
+def vocabulary(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The tokens in byte-level characters, as the tokenizer has them."""
+    chars = byte_characters()
+    return {"".join(chars[b] for b in token): rank for token, rank in ranks.items()}
+
+
+@lru_cache(maxsize=1)
 def tokenizer(path: str, pattern: str):
     """Built once in each Python worker, which encodes in its one thread: Spark's tasks are the parallel ones."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,21 +66,20 @@ def tokenizer(path: str, pattern: str):
     for token in sorted(ranks, key=ranks.get):
         if len(token) > 1 and len(parts := split_of(token, ranks)) == 2:
             merges.append((written(parts[0]), written(parts[1])))
-    tok = Tokenizer(models.BPE({written(t): r for t, r in ranks.items()}, merges, ignore_merges=True))
+    tok = Tokenizer(models.BPE(vocabulary(ranks), merges, ignore_merges=True))
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return tok
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all ids one after the other, taken back from their characters by the reversed byte table, and where
+    """The bytes of all ids one after the other, taken back from the tokens' characters by the reversed byte table, and where
     each id's start and how many they are (-1: there is no such id)."""
-    chars = byte_characters()
-    back = {c: b for b, c in enumerate(chars)}
-    ranks = read_ranks(path)
-    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = bytes(back[c] for c in "".join(chars[b] for b in token))
+    back = {c: b for b, c in enumerate(byte_characters())}
+    tokens = vocabulary(read_ranks(path))
+    table: list[bytes | None] = [None] * (max(tokens.values()) + 1)
+    for token, rank in tokens.items():
+        table[rank] = bytes(back[c] for c in token)
     size = np.array([-1 if t is None else len(t) for t in table], np.int64)
     return np.frombuffer(b"".join(t or b"" for t in table), np.uint8), np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), size
 
@@ -113,6 +120,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return docs.mapInArrow(run, with_fields(docs, *((n, "array<int>") for n in names)))
 
 
+def _decoded(col: pa.Array, path: str) -> pa.Array:
+    """The bytes of each list of ids."""
+    col = col.fill_null([])
+    sizes = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))])
+    data, ends = joined(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes, path)
+    return pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds decoded binary: the bytes of the ids. keep: the columns to carry (all if None)."""
     rows = rows if keep is None else rows.select(*dict.fromkeys([*keep, ids]))
@@ -122,15 +137,31 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] | None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                col = part.column(part.schema.get_field_index(ids)).fill_null([])
-                sizes = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))])
-                data, ends = joined(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes, path)
-                out = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                out = _decoded(part.column(part.schema.get_field_index(ids)), path)
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, name])
 
     return rows.mapInArrow(run, with_fields(rows, (name, "binary")))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns keep, ids array<int> and decoded binary (what the ids decode to): one pass in one Python worker a task, and texts that
+    aren't kept don't come back from it."""
+    kept = docs.select(*keep)
+    names = [own_name(kept, n) for n in ("ids", "decoded")]
+    source = own_name(kept, "_t")
+    rows = docs.select(*keep, docs[text].alias(source))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path, pattern)
+        for part in pieces(batches, source, most_bytes=1 << 18):
+            found = tok.encode_batch_fast([t or "" for t in part.column(len(keep)).to_pylist()], add_special_tokens=False)
+            ids = _lists([e.ids for e in found], pa.int32())
+            del found
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids, _decoded(ids, path)], [*keep, *names])
+
+    return rows.mapInArrow(run, with_fields(kept, (names[0], "array<int>"), (names[1], "binary")))
+
+
 def split_text(data: bytes) -> tuple[bytes, str, bytes]:
     """Bytes of ids cut out anywhere, as (rest of a character begun before, whole text, start of a character not ended).
 

@@ -13,9 +13,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
 
 
-def digests(encoded: DataFrame, keep: list[str]) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded rows, by decoding their ids."""
-    got = bpe.decode(encoded, public_tokenizers.path(VOCABULARY), keep=keep)
+def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, n_tokens, ids_sha256 and decoded_sha256 of docs (keep, text), from the ids of their texts and what these decode to."""
+    got = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep)
     return got.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),
@@ -25,12 +25,11 @@ def digests(encoded: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, offsets=False), ["doc_id"])
+    return digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,11 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches again, in slices of about most_bytes of one string column (one long text may be more)."""
+def pieces(batches: Iterable[pa.RecordBatch], *columns: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches again, in slices of about most_bytes of some string columns (one row with long texts may be more)."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
-        sizes = [n or 0 for n in pc.binary_length(col).to_pylist()]
+        sizes = [sum(n or 0 for n in row) for row in zip(*[pc.binary_length(batch.column(batch.schema.get_field_index(c))).to_pylist() for c in columns], strict=True)]
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and (total + n > most_bytes or i - start >= most_rows):

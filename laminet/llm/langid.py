@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from laminet.llm.common import own_name, pieces, with_fields
 
 ORDER = 3
+#: Bytes of a long text that are priced at once.
+WINDOW = 1 << 18
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1 << 20
 #: A text that its best model codes worse than this many bits a byte (a uniform code's) belongs to no language.
@@ -113,8 +115,26 @@ class Model:
             out[miss] = np.where((at >= 0)[:, None], self.escape[order][at], 0.0) + self.price(order - 1, lower)
         return out
 
-    def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Bits of each text by language. starts: where the texts start in data, and its end."""
+    def code_lengths(self, data: np.ndarray, starts: np.ndarray, most: int = WINDOW) -> np.ndarray:
+        """Bits of each text by language. starts: where the texts start in data, and its end. A text of more than `most` bytes is priced in
+        windows, each after the ORDER bytes before it, so that arrays stay small whatever a text's length."""
+        if len(long := np.flatnonzero(np.diff(starts) > most)):
+            total = np.zeros((len(starts) - 1, len(self.langs)))
+            rest = np.setdiff1d(np.arange(len(starts) - 1), long)
+            for i in long.tolist():
+                text = data[starts[i] : starts[i + 1]]
+                for at in range(0, len(text), most):
+                    before = min(at, ORDER)
+                    window = text[at - before : at + most]
+                    total[i] += self._priced(window, np.array([0, len(window)]), before)[0]
+            if len(rest):
+                ends = np.concatenate([[0], np.cumsum(np.diff(starts)[rest])])
+                total[rest] = self._priced(np.concatenate([data[starts[i] : starts[i + 1]] for i in rest.tolist()]), ends)
+            return total
+        return self._priced(data, starts)
+
+    def _priced(self, data: np.ndarray, starts: np.ndarray, skip: int = 0) -> np.ndarray:
+        """code_lengths of texts at once; the first skip bytes of data are context only."""
         total = np.zeros((len(starts) - 1, len(self.langs)))
         if not len(data):
             return total
@@ -128,6 +148,7 @@ class Model:
             for back in range(order, -1, -1):
                 key = (key << np.uint64(8)) | data[first - back]
             bits[first] = self.price(order, key)
+        bits[:skip] = 0
         full = np.flatnonzero(np.diff(starts) > 0)
         total[full] = np.add.reduceat(bits, starts[full], axis=0, dtype=np.float64)
         return total
@@ -198,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in pieces(batches, text, most_bytes=1 << 19):
+        for part in pieces(batches, text, most_bytes=1 << 18):
             n = part.num_rows
             col = part.column(part.schema.get_field_index(text))
             best, score, bits = np.full(n, -1), np.zeros(n), np.full(n, np.nan)

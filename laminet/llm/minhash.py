@@ -16,13 +16,14 @@ against one member only, that whose buckets hold the most members in all. Member
 are still out then meet all texts of such buckets with which they share a rare shingle as an exact prefix filter asks. Members that a chain of
 links already joins needn't meet. No bucket is capped and none compared in full.
 
-Cases: null texts and texts without a word are like nothing and stay alone; rows that share an id count as one document; null ids get a null
-class unless their text has an equal with an id; an empty table gives an empty one; texts are read whole.
+Cases: null texts and texts without a word are like nothing and stay alone; rows that share an id but not the text are documents each,
+rows equal in both are one; a null id takes part and sorts last, a class of null ids alone has a null class_id; an empty table
+gives an empty one; texts are read whole, and those of a pair are bounded together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -136,7 +137,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, f1, f2, bands array<long>): fingerprints are null, and bands empty, for a text without words."""
+    """(id, th, f1, f2, bands array<long>): fingerprints are null, and bands empty, for a text without words; th is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "t", most_bytes=1 << 20):
@@ -145,9 +146,11 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             keys = band_keys(signatures(doc, element, weight, part.num_rows)) if len(doc) else np.zeros((part.num_rows, BANDS), np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             f = [pa.array(prints[:, k], pa.int64(), mask=~some) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *f, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel(), pa.int64()))], ["id", "f1", "f2", "bands"])
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *f, bands], ["id", "th", "f1", "f2", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, f1 long, f2 long, bands array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("th"))
+    return rows.mapInArrow(run, "id long, th long, f1 long, f2 long, bands array<long>")
 
 
 def similarity(a: list[str], b: list[str]) -> list[float]:
@@ -162,33 +165,47 @@ def similarity(a: list[str], b: list[str]) -> list[float]:
     return (shared / np.maximum(total - shared, 1e-300)).tolist()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+#: (id, t): the texts of what `need` (id) names, in a table of its own.
+Texts = Callable[[DataFrame], DataFrame]
+
+
+def looked_up(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Texts:
+    """nodes: (n, id, th), the number, document and text hash of each distinct text."""
+
+    def texts(need: DataFrame) -> DataFrame:
+        places = cut(nodes.join(need.select(F.col("id").alias("n")), "n").select("n", "id", F.xxhash64("id").alias("k"), "th"), "places")
+        rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(places)))
+        # Written by a job of its own: plans with the table of marks in them are long to print.
+        found = cut(rows.select(F.xxhash64("id").alias("k"), F.xxhash64("t").alias("th"), "t"), "found")
+        out = cut(found.groupBy("k", "th").agg(F.first("t").alias("t")).join(places, ["k", "th"]).select(F.col("n").alias("id"), "t"), "texts")
+        discard(places, found)
+        return out
+
+    return texts
+
+
+def verify(pairs: DataFrame, texts: Texts) -> DataFrame:
     """pairs (a, b) with their exact similarity, sim."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    need = cut(need, "need")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(need)))
-    # Written by a job of its own: plans with the table of marks in them are long to print.
-    texts = cut(texts, "texts")
-    named = texts.join(need, "id")
+    named = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     both = pairs.join(named.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "ta", most_bytes=1 << 19):
+        for part in pieces(batches, "ta", "tb", most_bytes=1 << 20):
             sim = similarity(part.column(2).to_pylist(), part.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
-    discard(texts, need)
+    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double"), "verified")
+    discard(named)
     return out
 
 
-def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame | None:
+def link(active: DataFrame, texts: Texts, least: float) -> DataFrame | None:
     """(id, component) of what verified links join among the members of buckets (band, id)."""
     found = None
 
     def add(pairs: DataFrame) -> DataFrame:
         nonlocal found
-        got = verify(pairs, docs, doc_id, text)
+        got = verify(pairs, texts)
         new = got.where(F.col("sim") >= least).select("a", "b")
         if found is None or not new.isEmpty():
             # Of earlier links their components' stars are enough.
@@ -229,7 +246,7 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
         # In a bucket of two, both have been compared.
         beside = rows.join(fell.select("band").distinct(), "band", "left_semi").select("id").distinct()
         members = cut(beside.join(fell.select("id", F.lit(True).alias("fell")).distinct(), "id", "left"), "members")
-        pairs = labelled(labelled(sharing(members, docs, doc_id, text, least), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+        pairs = labelled(labelled(sharing(members, texts, least), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
         pairs = cut(pairs, "sharing")
         if not pairs.isEmpty():
             add(pairs)
@@ -238,15 +255,14 @@ def link(active: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
     return found
 
 
-def sharing(members: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+def sharing(members: DataFrame, texts: Texts, least: float) -> DataFrame:
     """Pairs (a, b) of members (id, fell boolean), one or both of which fell, that can have a similarity of least: exact prefix filter.
 
     The shingles of all members are ordered from rare to common among them. Two bags that are that similar share one of the
     first shingles of each, as many as hold more than 1 - least of its weight. A text with much of its own has only
     shingles there that no other has, and so meets nobody. A shared shingle with too much weight before it, on either side, doesn't count.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(members)))
-    texts = cut(texts, "texts")
+    named = texts(members.select("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "t", most_bytes=1 << 19):
@@ -256,8 +272,7 @@ def sharing(members: DataFrame, docs: DataFrame, doc_id: str, text: str, least:
                 d = doc[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), pa.array(element[i : i + (1 << 16)].view(np.int64)), pa.array(weight[i : i + (1 << 16)]), pa.array(mass[d])], ["id", "fell", "e", "w", "m"])
 
-    named = texts.join(members, "id").groupBy("id", "fell", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
-    rows = cut(named.select("id", "fell", "t").mapInArrow(run, "id long, fell boolean, e long, w long, m long"), "shingles")
+    rows = cut(named.join(members, "id").select("id", "fell", "t").mapInArrow(run, "id long, fell boolean, e long, w long, m long"), "shingles")
     ranked = rows.join(rows.groupBy("e").agg(F.count("*").alias("df")), "e")
     before = F.sum("w").over(Window.partitionBy("id", "m").orderBy("df", "e").rowsBetween(Window.unboundedPreceding, -1))
     prefix = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= (1 - least) * F.col("m") + 1e-9) & (F.col("df") > 1))
@@ -267,23 +282,29 @@ def sharing(members: DataFrame, docs: DataFrame, doc_id: str, text: str, least:
     fits = F.least(F.col("mx") - F.col("bx"), F.col("my") - F.col("by")) * (1 + least) >= least * (F.col("mx") + F.col("my")) - 1e-6
     pairs = one.join(other, "e").where(fits & (F.col("x") != F.col("y")) & (~F.col("fell") | (F.col("x") < F.col("y"))))
     out = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near")
-    discard(texts, rows, prefix)
+    discard(named, rows, prefix)
     return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: id, class_id (the least id of its class), kept boolean (it is that one)."""
+    """One row for each row of docs: id, th long (the text's hash), class_id (the least id of its class), kept boolean (it is the class's first by
+    id and text hash)."""
     signed = cut(sign(docs, doc_id, text), "signed")
     some = signed.where("f1 is not null")
-    exact = cut(some.groupBy("f1", "f2").agg(F.min("id").alias("head")).where("head is not null"), "exact")
-    heads = some.join(exact.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "head"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("id") == F.col("head")))
-    active = heads.select("id", F.explode("bands").alias("band")).distinct()
-    bands = cut(active, "bands")
-    found = link(bands, docs, doc_id, text, least)
+    first = lambda: F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("th").alias("th"))).alias("x")
+    exact = some.groupBy("f1", "f2").agg(first())
+    exact = cut(exact.select(F.monotonically_increasing_id().alias("n"), "f1", "f2", "x.id", "x.th"), "exact")
+    heads = exact.select("n", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("id").alias("i"), F.col("th").alias("h"))
+    heads = some.join(heads, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
+    bands = cut(heads.select(F.col("n").alias("id"), F.explode("bands").alias("band")).distinct(), "bands")
+    found = link(bands, looked_up(exact.select("n", "id", "th"), docs, doc_id, text), least)
     discard(bands)
+    known = exact.withColumn("component", F.col("n"))
     if found is not None:
-        exact = exact.join(found, exact["head"] == found["id"], "left").select("f1", "f2", F.coalesce("component", "head").alias("class_id"))
-    else:
-        exact = exact.withColumnRenamed("head", "class_id")
-    out = signed.select("id", "f1", "f2").join(exact, ["f1", "f2"], "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    return out.select("id", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+        known = exact.join(found.select(F.col("id").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
+    firsts = known.groupBy("component").agg(first())
+    named = known.select("component", "f1", "f2").join(firsts, "component").select("f1", "f2", F.col("x.id").alias("class_id"), F.col("x.th").alias("class_th"))
+    out = signed.select("id", "th", "f1", "f2").join(named, ["f1", "f2"], "left")
+    alone = F.col("f1").isNull()
+    kept = alone | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
+    return out.select("id", "th", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))

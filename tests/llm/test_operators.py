@@ -139,7 +139,7 @@ def test_minhash_sharing_misses_no_link(spark):
     texts += ["the same line " * n for n in (30, 31, 33, 36, 60)] + ["a b", "a b c", *[prose(100, i) for i in range(5)]]
     fell = [i % 3 != 0 for i in range(len(texts))]
     members = spark.createDataFrame([(i, True if f else None) for i, f in enumerate(fell)], "id long, fell boolean")
-    rows = [(r.a, r.b) for r in minhash.sharing(members, docs_of(spark, texts), "doc_id", "text", 0.8).collect()]
+    rows = [(r.a, r.b) for r in minhash.sharing(members, lambda need: docs_of(spark, texts).select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(need, "id"), 0.8).collect()]
     bags = [bag(t) for t in texts]
     links = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fell[i] or fell[j]) and jaccard(bags[i], bags[j]) >= 0.8}
     assert len(rows) == len(set(rows)) and links <= set(rows) and len(links) > 20
@@ -543,3 +543,19 @@ def test_marks_hold_ids_of_hash_zero(spark):
     assert sum(map(int.bit_count, have)) == 4 and ids.where(common.marked(F.col("id"), have)).count() == 6
     assert spark.range(10, 1000).where(common.marked(F.col("id"), have)).count() == 0
     assert ids.where(common.marked(F.col("id"), common.marks(ids.where("id < 4")))).count() == 3
+
+
+def test_windows_price_like_the_whole_text():
+    m = langid.fit({"en": [prose(400, 3).encode()], "xx": [prose(400, 8).upper().encode()]})
+    texts = [prose(300, 5).encode(), b"", b"abc", prose(90, 6).encode()]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = m.code_lengths(data, ends)
+    for most in (7, 64, 500):
+        assert np.allclose(m.code_lengths(data, ends, most), whole, rtol=1e-5)
+
+
+def test_minhash_keeps_different_texts_of_one_id(spark):
+    base, other = prose(60, 1), prose(60, 2)
+    rows = [(1, base, "", "", 0), (2, base + " x", "", "", 0), (2, other, "", "", 0), (2, other, "", "", 0)]
+    got = sorted((r.id, r.class_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True)]

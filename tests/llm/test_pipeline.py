@@ -65,4 +65,14 @@ def test_bad_text_is_rejected(spark):
     junk = "".join(random.Random(2).choices([chr(c) for c in range(0x4E00, 0x9F00)], k=200))
     bits = {r.doc_id: r.bits for r in langid.predict(spark.createDataFrame([(1, junk, "", "", 0), (2, prose(50, 4), "", "", 0)], DOCS), m).collect()}
     assert bits[1] > langid.REJECT_BITS > bits[2]
-    assert F is not None
+
+
+def test_stages_lose_no_text_to_shared_ids_nulls_or_names(spark, tmp_path):
+    base, other = prose(60, 21), prose(60, 22)
+    rows = [(1, base, "en", "a", 1), (2, base + " x", "en", "a", 1), (2, other, "en", None, 1), (None, prose(50, 23), None, None, None), (3, prose(30_000, 24), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("id", F.lit(7)).withColumn("class_id", F.lit("x"))
+    kept = {r.text for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {rows[i][1] for i in (0, 2, 3, 4)}
+    assert {r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} >= {other, rows[3][1]}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], DOCS), "").count() == 0, name
