@@ -2,16 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
 columns of documents. Rows may repeat after mixing, as copies.
+
+Cases: nulls in any column, empty and very long texts, repeated rows and empty tables pass as each operator's docstring says; a null text goes
+at language ID. A document is known by its id and text together: rows that share only the id are never dropped for each other's text. Other
+columns than those of documents are left out, whatever their names. Rows equal in id and text are one document in near-dedup and stay all.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminet.llm import bpe, langid, linededup, minhash, mixing
-from laminet.llm.catalog import VOCABULARY, digests
+from laminet.llm import langid, linededup, minhash, mixing
+from laminet.llm.catalog import digests
 from laminet.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,8 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    kept = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    own = docs.select(*COLUMNS)
+    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +64,7 @@ def _alike():
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, offsets=False)
-    return digests(encoded, ["doc_id"])
+    return digests(docs, ["doc_id"])
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", tokens)]
