@@ -129,7 +129,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 ANNOT = """mem AS (SELECT doc_id AS entity, source AS "partition" FROM documents),
 ann AS (SELECT DISTINCT doc_id AS entity, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
-a AS (SELECT mem.entity, "partition", term FROM mem JOIN ann ON mem.entity = ann.entity WHERE length(term) BETWEEN 2 AND 4),
+a AS (SELECT mem.entity, "partition", term FROM mem JOIN ann ON mem.entity = ann.entity WHERE length(term) > 0),
 cnt AS (SELECT x."partition", x.term, x.inside, y.n - x.inside AS outside, s.size, (SELECT count(*) FROM mem) AS total FROM (SELECT "partition", term, count(*) AS inside FROM a GROUP BY 1, 2) x JOIN (SELECT term, count(*) AS n FROM a GROUP BY 1) y ON x.term = y.term JOIN (SELECT "partition", count(*) AS size FROM mem GROUP BY 1) s ON s."partition" = x."partition")"""
 
 
