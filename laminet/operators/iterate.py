@@ -45,13 +45,13 @@ def symmetric(edges: DataFrame) -> DataFrame:
 # Ranking
 
 
-def personalized_pagerank(p: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int | None = None, epsilon: float = 1e-6, most: int = 200, zero_seeds: bool = True, unit: bool = True, threshold: float = 0.0) -> DataFrame:
+def personalized_pagerank(p: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int | None = None, epsilon: float = 1e-6, most: int = 100_000, zero_seeds: bool = True, unit: bool = True, threshold: float = 0.0) -> DataFrame:
     """p: stochastic edges (src, dst, p). seeds: (seed, node) start sets, spread evenly. Returns (seed, node, rank).
 
     r becomes damping * (P'r + start * missing mass) + (1 - damping) * start, the missing mass being counted where more
     than 1e-9 is missing, for a number of steps or until no seed's vector moves by more than epsilon (sum of absolute
     differences). Seeds' own entries are left out then and vectors scaled to length 1, unless told otherwise. threshold
-    drops smaller entries at each step.
+    drops smaller entries at each step. Not having converged after `most` steps raises.
     """
     start = seeds.select("seed", "node").distinct()
     start = cut(start.withColumn("start", 1.0 / F.count("*").over(Window.partitionBy("seed"))), "start")
@@ -71,6 +71,9 @@ def personalized_pagerank(p: DataFrame, seeds: DataFrame, damping: float = 0.85,
             if (far or 0.0) <= epsilon:
                 break
         rank = new
+    else:
+        if steps is None:
+            raise RuntimeError(f"not converged after {most} steps")
     if zero_seeds:
         rank = rank.join(start.select("seed", "node"), ["seed", "node"], "left_anti")
     if unit:
@@ -192,11 +195,13 @@ def bfs(edges: DataFrame, start: DataFrame, directed: bool = False, most: int |
 
 
 def diameter(edges: DataFrame, most_nodes: int = 2000) -> int | None:
-    """Longest shortest path of a connected undirected graph by search from every node; None if it isn't connected or too large."""
+    """Longest shortest path of a connected undirected graph by search from every node; None if it isn't connected. More than most_nodes raise."""
     nodes = names_of(edges)
     n = nodes.count()
-    if n == 0 or n > most_nodes:
+    if n == 0:
         return None
+    if n > most_nodes:
+        raise ValueError(f"{n} nodes are more than {most_nodes}: a search from every node needs a row for each pair")
     e = cut(symmetrize(edges.select("src", "dst")).distinct(), "edges")
     seen = cut(nodes.select(F.col("node").alias("s"), "node"), "seen")
     front, level = seen, 0
@@ -371,7 +376,7 @@ def measure(name: str, edges: DataFrame) -> DataFrame:
     return REGISTRY[name](edges)
 
 
-def network_statistics(edges: DataFrame, name: str = "network", classes: int = 0, directed: bool = False) -> dict:
+def network_statistics(edges: DataFrame, name: str = "network", classes: int = 0, directed: bool = False, most_nodes: int = 2000) -> dict:
     """One row of figures: nodes, edges, components, clustering, density, diameter, mean degree, flow hierarchy."""
     nodes = names_of(edges).count()
     m = edges.count()
@@ -379,12 +384,12 @@ def network_statistics(edges: DataFrame, name: str = "network", classes: int = 0
     out["components"] = connected_components(edges).select("component").distinct().count()
     out["clustering"] = clustering(edges).agg(F.avg("value")).first()[0]
     out["density"] = (1 if directed else 2) * m / (nodes * (nodes - 1)) if nodes > 1 else 0.0
-    out["diameter"] = diameter(edges)
+    out["diameter"] = diameter(edges, most_nodes) if nodes <= most_nodes else "not searched"
     out["flow_hierarchy"] = flow_hierarchy(edges) if directed else None
     return out
 
 
-def flow_hierarchy(edges: DataFrame, most: int = 200) -> float:
+def flow_hierarchy(edges: DataFrame) -> float:
     """Share of edges on no cycle. Nodes that lack a way in or out are peeled off, then an edge is on a cycle if its source
     can be reached from its target."""
     m = edges.count()
@@ -396,7 +401,7 @@ def flow_hierarchy(edges: DataFrame, most: int = 200) -> float:
         if core.count() == n:
             break
     reach = core
-    for _ in range(most):
+    while True:
         n = reach.count()
         wider = reach.toDF("src", "m").join(reach.toDF("m", "dst"), "m").select("src", "dst")
         reach = cut(reach.union(wider).distinct(), "reach")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from laminet.model import COUPLING_TYPES, EDGE_COLUMNS, MultilayerNetwork, NetConfig, edge_table, endpoints
+from laminet.model import COUPLING_TYPES, EDGE_COLUMNS, MultilayerNetwork, edge_table, endpoints
 
 SRC, DST = ["src", "src_layer"], ["dst", "dst_layer"]
 ENDS = [*SRC, *DST]
@@ -27,17 +27,17 @@ def _both(edges: DataFrame, keep: DataFrame, cols: list[str], on: list[str]) ->
 
 def subnetwork_layers(net: MultilayerNetwork, layers: Iterable[str]) -> MultilayerNetwork:
     layers = list(layers)
-    return MultilayerNetwork(net.edges.where(F.col("src_layer").isin(layers) & F.col("dst_layer").isin(layers)), net.nodes.where(F.col("layer").isin(layers)), NetConfig())
+    return MultilayerNetwork(net.edges.where(F.col("src_layer").isin(layers) & F.col("dst_layer").isin(layers)), net.nodes.where(F.col("layer").isin(layers)), net.config)
 
 
 def subnetwork_names(net: MultilayerNetwork, names: DataFrame) -> MultilayerNetwork:
     """names: a table with the column node."""
-    return MultilayerNetwork(_both(net.edges, names, ["node"], ["node"]), net.nodes.join(names.select("node").distinct(), "node", "left_semi"), NetConfig())
+    return MultilayerNetwork(_both(net.edges, names, ["node"], ["node"]), net.nodes.join(names.select("node").distinct(), "node", "left_semi"), net.config)
 
 
 def subnetwork_pairs(net: MultilayerNetwork, pairs: DataFrame) -> MultilayerNetwork:
     """pairs: a table with the columns node and layer."""
-    return MultilayerNetwork(_both(net.edges, pairs, ["node", "layer"], ["node", "layer"]), net.nodes.join(pairs.select("node", "layer").distinct(), ["node", "layer"], "left_semi"), NetConfig())
+    return MultilayerNetwork(_both(net.edges, pairs, ["node", "layer"], ["node", "layer"]), net.nodes.join(pairs.select("node", "layer").distinct(), ["node", "layer"], "left_semi"), net.config)
 
 
 def intra_layer(edges: DataFrame) -> DataFrame:

@@ -29,12 +29,12 @@ class Defaults:
     q: float = 0.01
 
 
-def closure(subclass_of: DataFrame, most: int = 64) -> DataFrame:
+def closure(subclass_of: DataFrame) -> DataFrame:
     """(child, ancestor), each class with itself too. A cycle raises."""
     e = cut(subclass_of.select("child", "parent").distinct(), "subclasses")
     front = e.select("child", F.col("parent").alias("ancestor"))
     seen = front
-    for _ in range(most):
+    while True:
         if not front.where("child = ancestor").isEmpty():
             raise ValueError("the class hierarchy has a cycle")
         front = cut(front.join(e.toDF("ancestor", "up"), "ancestor").select("child", F.col("up").alias("ancestor")).distinct().join(seen, ["child", "ancestor"], "left_anti"), "closure")
@@ -49,12 +49,13 @@ def roots(subclass_of: DataFrame) -> DataFrame:
     return subclass_of.select(F.col("parent").alias("pred")).distinct().join(subclass_of.select(F.col("child").alias("pred")), "pred", "left_anti")
 
 
-def levels(subclass_of: DataFrame, most: int = 64) -> DataFrame:
+def levels(subclass_of: DataFrame) -> DataFrame:
     """(pred, level): longest way from a root."""
     e = cut(subclass_of.select("child", "parent").distinct(), "subclasses")
+    most = e.select(F.explode(F.array("child", "parent")).alias("pred")).distinct().count()
     now = roots(e).withColumn("level", F.lit(0))
     out = now
-    for level in range(1, most):
+    for level in range(1, most + 1):
         now = cut(now.join(e, now["pred"] == e["parent"]).select(F.col("child").alias("pred")).distinct().withColumn("level", F.lit(level)), "levels")
         if now.isEmpty():
             return out.groupBy("pred").agg(F.max("level").alias("level"))

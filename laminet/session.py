@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, a temporary one of this machine."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster, whose
+    executors would each write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="laminet-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

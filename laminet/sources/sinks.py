@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +43,10 @@ def edgelist(net: MultilayerNetwork, path: str) -> DataFrame:
 
 
 def save_native(net: MultilayerNetwork, path: str) -> None:
-    """Parquet, edges by source layer so that layers can be skipped."""
+    """Parquet, edges by source layer so that layers can be skipped, and the configuration."""
     net.edges.withColumn("layer_part", F.col("src_layer")).write.mode("overwrite").partitionBy("layer_part").parquet(f"{path}/edges")
     net.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    net.nodes.sparkSession.createDataFrame([(json.dumps(asdict(net.config)),)], "config string").write.mode("overwrite").parquet(f"{path}/config")
 
 
 def json_lines(net: MultilayerNetwork, path: str) -> None:
@@ -79,9 +83,12 @@ def triples(partition: DataFrame, annotations: DataFrame, base: str = "urn:net:"
 
 
 def latex(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A table for print of a result of few rows."""
+    """A table for print of a result of few rows; more than `most` raise."""
     cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_")
-    rows = [" & ".join(cell(v) for v in r) + r" \\" for r in df.limit(most).collect()]
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a table for print of more than {most} rows")
+    rows = [" & ".join(cell(v) for v in r) + r" \\" for r in found]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", " & ".join(map(cell, df.columns)) + r" \\ \hline", *rows, r"\end{tabular}"])
 
 

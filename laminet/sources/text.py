@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,9 +36,10 @@ def multiedgelist(spark, path, config: NetConfig | None = None) -> MultilayerNet
 
 
 def edgelist(spark, path, config: NetConfig | None = None) -> MultilayerNetwork:
-    """n1 n2 [w], gzip too; of duplicates the last counts."""
+    """n1 n2 [w], gzip too; of duplicates the last counts, which a turned round line is too unless the network is directed."""
     e = rows_of(spark, path).where(F.size("t") >= 2).select("line", _t(0).alias("src"), _t(1).alias("dst"), _weight(2).alias("weight"))
-    e = e.groupBy("src", "dst").agg(F.max_by("weight", "line").alias("weight"))
+    ends = ["src", "dst"] if config and config.directed else [F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")]
+    e = e.groupBy(*ends).agg(F.max_by(F.struct("src", "dst", "weight"), "line").alias("last")).select("last.*")
     return MultilayerNetwork.from_edges(e, config=config)
 
 
@@ -237,7 +239,8 @@ def coo(spark, path, labels: str | None = None) -> tuple[MultilayerNetwork, Data
 
 def native(spark, path) -> MultilayerNetwork:
     """What save_native() wrote."""
-    return MultilayerNetwork(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes"))
+    config = NetConfig(**json.loads(spark.read.parquet(f"{path}/config").first()["config"]))
+    return MultilayerNetwork(spark.read.parquet(f"{path}/edges").drop("layer_part"), spark.read.parquet(f"{path}/nodes"), config)
 
 
 def split_ids(df: DataFrame, separator: str = "_") -> DataFrame:

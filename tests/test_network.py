@@ -206,3 +206,32 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_config():
     assert NetConfig().coupling_weight == 1.0 and not NetConfig().directed
+
+
+def test_directed_networks_stay_directed(spark, tmp_path):
+    net = text.edge_tuples(spark, [("a", "b", "x", "x", 1.0)], NetConfig(directed=True))
+    names = spark.createDataFrame([("a",), ("b",)], "node string")
+    pairs = spark.createDataFrame([("a", "x"), ("b", "x")], "node string, layer string")
+    sinks.save_native(net, str(tmp_path))
+    loaded = text.native(spark, str(tmp_path))
+    assert loaded.config == net.config and loaded.edges.columns == net.edges.columns
+    for kept in (network.subnetwork_layers(net, ["x"]), network.subnetwork_names(net, names), network.subnetwork_pairs(net, pairs), loaded):
+        assert kept.get_neighbors("b", "x").count() == 0 and kept.get_neighbors("a", "x").count() == 1
+
+
+def test_edgelist_merges_turned_lines_unless_directed(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("a b 3\nb a 2\na c 1\n")
+    path = str(tmp_path / "e.txt")
+    rows = lambda net: sorted((r.src, r.dst, r.weight) for r in net.edges.collect())
+    assert rows(text.edgelist(spark, path)) == [("a", "c", 1.0), ("b", "a", 2.0)]
+    assert rows(text.edgelist(spark, path, NetConfig(directed=True))) == [("a", "b", 3.0), ("a", "c", 1.0), ("b", "a", 2.0)]
+
+
+def test_nothing_stops_in_silence(spark, tmp_path):
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(70)], "child string, parent string")
+    assert rules.closure(chain).where("child = '000'").count() == 71
+    assert rules.levels(chain).agg(F.max("level")).first()[0] == 70
+    with pytest.raises(ValueError):
+        sinks.latex(spark.range(3), most=2)
+    with pytest.raises(ValueError):
+        iterate.diameter(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), most_nodes=2)
