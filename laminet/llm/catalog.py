@@ -113,7 +113,9 @@ o AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_gone, coalesce(str
 SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_gone, 0)::INT AS n_gone, coalesce(gone_lines, '') AS gone_lines, o.text FROM documents d LEFT JOIN o USING (doc_id)
 """,
     "op7_perspective_rotation": """
-WITH c AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH c AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' WHEN regexp_full_match(role, 'unknown_*') THEN role || '_'
+    ELSE replace(replace(regexp_replace(role, '[\r\n]', ' ', 'g'), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') END AS role,
+  replace(replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') AS text FROM conversations),
 w AS (SELECT DISTINCT conv_id, role AS perspective FROM c),
 s AS (SELECT c.conv_id, w.perspective, coalesce(floor(turn / 64), -1)::BIGINT AS part, turn, c.role, text, CASE WHEN c.role = w.perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || c.role || '|>' || chr(10) END AS head
   FROM c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id),

@@ -5,7 +5,10 @@ part is given; the fractional parts are rounded so that the words taken stay at
 words passes from one to the other, in the direction that a draw decides with the odds that keep both expectations,
 until one of them is at none or one whole copy; the other goes on to meet the next. What is left of a block is one document; the
 blocks' residuals meet in blocks again, up a tree, until one document of each source is left, which a last draw settles.
-Long documents come first, so that the shorter ones take up what they leave open. So a source ends within one document of its target, and each document gets either of the two whole numbers about its due.
+Within a block, long documents come first, and each is paired with the pool of all shorter ones, whose fractions are still equal: a draw makes it
+none or one whole copy, and the pool takes up the words that this gives or takes. From where the pool couldn't take up either outcome, and for
+residuals, documents meet in pairs. So what a source leaves open at last is a short
+document, and each document gets either of the two whole numbers about its due.
 
 Draws are hashes of the document, its level and SEED, blocks are hashes of the document, and rows of a block are sorted, so that reruns agree
 however the rows are dealt out. A hot source is only more blocks.
@@ -63,12 +66,32 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return rows.withColumn("target", target).drop("_w", "_cap", "_full", "_open", "_total", "_k", "_level")
 
 
+def pooled(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> None:
+    """Makes p whole, longest documents first, as far as the pool of those after it, of one common fraction, can take up the difference."""
+    at = np.flatnonzero((p > 0.0) & (p < 1.0))
+    if len(at) < 2 or np.ptp(p[at]) > 1e-12:
+        return
+    rest, x = np.cumsum(size[at][::-1])[::-1] - size[at], float(p[at[0]])
+    done = 0
+    for s, pool, u in zip(size[at].tolist(), rest.tolist(), draw[at].tolist(), strict=True):
+        if pool <= 0:
+            break
+        one, none = x - (1 - x) * s / pool, x + x * s / pool  # the pool's fraction after either outcome
+        if one < 0 or none > 1:
+            break
+        up = u < x
+        p[at[done]], x = float(up), one if up else none
+        done += 1
+    p[at[done:]] = min(1.0, max(0.0, x))
+
+
 def settle(size: np.ndarray, p: np.ndarray, draw: np.ndarray, last: bool) -> tuple[np.ndarray, int]:
     """Rounds p in order, keeping sum(p * size). Returns the 0s and 1s, and which one is left open (-1 if none).
 
     draw: a number from 0 to 1 for each document, used when it meets the one that is open.
     """
     out = np.zeros(len(p), np.int64)
+    pooled(size, p, draw)
     open_at, q = -1, 0.0
     for i, (s, x, u) in enumerate(zip(size.tolist(), p.tolist(), draw.tolist(), strict=True)):
         if x <= 0.0 or x >= 1.0:

@@ -19,6 +19,8 @@ import math
 import random
 import re
 import string
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -57,6 +59,24 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+class Cover:
+    """What spans, sorted by start, cover, as separate stretches: overlaps are told by one search each."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e, _ in spans:
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+
 def random_strings(n: int, seed: int = 7) -> list[str]:
     """Labelled samples of secrets: characters drawn evenly from the alphabets that keys are written in."""
     rng = random.Random(seed)
@@ -64,6 +84,17 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(sets[i % len(sets)], k=rng.randint(20, 48))) for i in range(n)]
 
 
+def ordinary_strings(n: int, seed: int = 11) -> list[str]:
+    """Labelled samples of ordinary identifiers: numbers drawn evenly, of one digit or counting up, timestamps, and UUIDs."""
+    rng, digits, out = random.Random(seed), string.digits, []
+    for i in range(n):
+        k, at = rng.randint(8, 28), rng.randrange(10)
+        stamp = f"{rng.randint(1990, 2040)}{rng.randint(1, 12):02}{rng.randint(1, 28):02}{rng.randint(0, 23):02}{rng.randint(0, 59):02}{rng.randint(0, 59):02}" + "0" * rng.randint(0, 6)
+        kinds = ("".join(rng.choices(digits, k=k)), digits[at] * k, (digits * 4)[at : at + k], stamp, str(uuid.UUID(int=rng.getrandbits(128), version=4)))
+        out.append(kinds[i % len(kinds)])
+    return out
+
+
 class Markov:
     """Log-likelihood ratio of order-1 character models, add-one smoothed: a table by (character before, character)."""
 
@@ -120,32 +151,33 @@ class Markov:
 
 
 def samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, bool]]:
-    """At most SAMPLE_RUNS labelled runs of the SAMPLE_DOCS documents with the lowest hashes, and SYNTHETIC random strings."""
+    """At most SAMPLE_RUNS labelled runs of the SAMPLE_DOCS documents with the lowest hashes, and SYNTHETIC made strings of each label."""
     out: list[tuple[str, bool]] = []
     rows = docs.select(F.col(text), F.xxhash64(doc_id, text).alias("h")).where(F.col(text).isNotNull())
     # By the number of documents, a share in which the lowest hashes are likely enough found: no more is sorted.
     share = min(1.0, (2 * SAMPLE_DOCS + 100) / max(1, docs.count()))
     for (t,) in rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share).orderBy("h").limit(SAMPLE_DOCS).select(text).toLocalIterator():
-        spans = base_spans(t)
+        held = Cover(base_spans(t))
         for m in WORD.finditer(t):
-            out.append((m.group(), any(s < m.end() and m.start() < e for s, e, _ in spans)))
+            out.append((m.group(), held.meets(m.start(), m.end())))
         if len(out) >= SAMPLE_RUNS:
             break
-    return out[:SAMPLE_RUNS] + [(t, True) for t in random_strings(SYNTHETIC)]
+    return out[:SAMPLE_RUNS] + [(t, True) for t in random_strings(SYNTHETIC)] + [(t, False) for t in ordinary_strings(SYNTHETIC)]
 
 
 def train(labelled: Iterable[tuple[str, bool]]) -> Markov:
     """Of what is labelled secret, only runs of LEAST characters or more tell of random strings (keywords and short values don't).
-    Ordinary runs count in capitals too: they are rare in texts, and hardly seen contexts would be near uniform in both models."""
+    Ordinary runs without digits count in capitals too: these are rare in texts, and hardly seen contexts would be near uniform in both models."""
     labelled = list(labelled)
     ordinary = [t for t, secret in labelled if not secret]
-    return Markov([t for t, secret in labelled if secret and len(t) >= LEAST], [*ordinary, *(u for t in ordinary if (u := t.upper()) != t)])
+    return Markov([t for t, secret in labelled if secret and len(t) >= LEAST], [*ordinary, *(u for t in ordinary if (u := t.upper()) != t and not any(map(str.isdigit, t)))])
 
 
 def scan_text(text: str, model: Markov) -> tuple[list[Span], list[Span]]:
     """Base spans, and those that the models add."""
     base = base_spans(text)
-    added = [(m.start() + a, m.start() + b, 3) for m in RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in base) for a, b in model.stretches(m.group())]
+    held = Cover(base)
+    added = [(m.start() + a, m.start() + b, 3) for m in RUN.finditer(text) if not held.meets(m.start(), m.end()) for a, b in model.stretches(m.group())]
     return base, added
 
 
