@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from itertools import count
 
@@ -51,7 +52,7 @@ def personalized_pagerank(p: DataFrame, seeds: DataFrame, damping: float = 0.85,
     r becomes damping * (P'r + start * missing mass) + (1 - damping) * start, the missing mass being counted where more
     than 1e-9 is missing, for a number of steps or until no seed's vector moves by more than epsilon (sum of absolute
     differences). Seeds' own entries are left out then and vectors scaled to length 1, unless told otherwise. threshold
-    drops smaller entries at each step. Not having converged after `most` steps raises.
+    drops smaller entries at each step. Not having converged after `most` steps gives a warning.
     """
     start = seeds.select("seed", "node").distinct()
     start = cut(start.withColumn("start", 1.0 / F.count("*").over(Window.partitionBy("seed"))), "start")
@@ -73,7 +74,7 @@ def personalized_pagerank(p: DataFrame, seeds: DataFrame, damping: float = 0.85,
         rank = new
     else:
         if steps is None:
-            raise RuntimeError(f"not converged after {most} steps")
+            warnings.warn(f"not converged after {most} steps", stacklevel=2)
     if zero_seeds:
         rank = rank.join(start.select("seed", "node"), ["seed", "node"], "left_anti")
     if unit:
