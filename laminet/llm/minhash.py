@@ -175,10 +175,9 @@ def looked_up(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Text
     def texts(need: DataFrame) -> DataFrame:
         places = cut(nodes.join(need.select(F.col("id").alias("n")), "n").select("n", "id", F.xxhash64("id").alias("k"), "th"), "places")
         rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & marked(F.col("id"), marks(places)))
-        # Written by a job of its own: plans with the table of marks in them are long to print.
-        found = cut(rows.select(F.xxhash64("id").alias("k"), F.xxhash64("t").alias("th"), "t"), "found")
+        found = rows.select(F.xxhash64("id").alias("k"), F.xxhash64("t").alias("th"), "t")
         out = cut(found.groupBy("k", "th").agg(F.first("t").alias("t")).join(places, ["k", "th"]).select(F.col("n").alias("id"), "t"), "texts")
-        discard(places, found)
+        discard(places)
         return out
 
     return texts

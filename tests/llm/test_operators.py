@@ -611,3 +611,8 @@ def test_pool_keeps_words_and_takes_long_documents_first():
     for _ in range(4000):
         hits += mixing.settle(size, np.full(11, 0.5), r.random(11), True)[0]
     assert abs(hits / 4000 - 0.5).max() < 0.05
+
+
+def test_marks_are_not_printed_with_a_plan(spark):
+    df = spark.range(1000).where(common.marked(F.col("id"), common.marks(spark.range(10))))
+    assert df.count() >= 10 and len(df._jdf.queryExecution().toString()) < 20_000
