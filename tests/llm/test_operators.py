@@ -616,3 +616,17 @@ def test_pool_keeps_words_and_takes_long_documents_first():
 def test_marks_are_not_printed_with_a_plan(spark):
     df = spark.range(1000).where(common.marked(F.col("id"), common.marks(spark.range(10))))
     assert df.count() >= 10 and len(df._jdf.queryExecution().toString()) < 20_000
+
+
+def test_line_dedup_in_any_order_of_words(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(4, 14))) for _ in range(60)]
+    near = [" ".join([*x.split(), "zz"]) for x in lines[::2]]
+    docs = spark.createDataFrame([(i, "\n".join(rng.sample(lines + near, 6))) for i in range(30)], "doc_id long, text string")
+    gone = lambda: {r.doc_id: r.gone for r in linededup.dedup_lines(docs).collect()}
+    want = gone()
+    assert any(want.values())
+    monkeypatch.setattr(linededup, "rarity", lambda docs, text: np.random.default_rng(1).integers(1, 99, linededup.BUCKETS))
+    assert gone() == want
+    rows = linededup.lines_of(docs, "doc_id", "text", linededup.rarity(docs, "text"))
+    assert not rows.schema["prefix"].dataType.containsNull  # else each line's keys are sorted as objects
