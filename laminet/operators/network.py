@@ -237,7 +237,8 @@ def aggregate_edges(net: MultilayerNetwork, normalize_by: str = "degree") -> Dat
     ends = 2 if normalize_by == "degree" else 1
     m = per.groupBy("layer").agg(F.sum("n").alias("m"))
     scale = net.nodes.groupBy("layer").agg(F.count("*").alias("k")).join(m, "layer").select("layer", (F.col("k") / (ends * F.col("m"))).alias("scale"))
-    return per.join(scale, "layer").groupBy(*pair).agg(F.sum(F.col("n") * F.col("scale")).alias("weight"))
+    # A row for each layer is sent to all tasks: a join by layer would bring a whole layer's pairs into one.
+    return per.join(F.broadcast(scale), "layer").groupBy(*pair).agg(F.sum(F.col("n") * F.col("scale")).alias("weight"))
 
 
 def top_hubs(edges: DataFrame, top: int = 100, layer: str | None = None) -> DataFrame:

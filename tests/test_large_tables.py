@@ -1,7 +1,14 @@
 """What only shows on tables of many partitions: several ranges, more rows than a sample, midpoints of many points."""
 
+import math
+import random
+from collections import defaultdict
+
 import pytest
-from laminet.operators import temporal
+from laminet import session
+from laminet.model import MultilayerNetwork
+from laminet.operators import hin, network, temporal
+from laminet.plans import queries
 from pyspark.sql import functions as F
 
 
@@ -25,3 +32,20 @@ def test_rows_are_numbered_once_each_over_several_ranges(many):
     assert sorted(r.chunk for r in sizes) == list(range(100)) and {r["count"] for r in sizes} == {1000}
     sizes = temporal.layer_counts(temporal.slices(rows, 7, ["ts", "event_id"]), "slice").groupBy("slice").agg(F.sum("edges").alias("n")).orderBy("slice").collect()
     assert [r.n for r in sizes] == [14286] * 5 + [14285] * 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_do_not_gather_in_a_join(spark):
+    e = spark.createDataFrame([("a", "x", "b", "x"), ("a", "x", "c", "x"), ("b", "y", "a", "y")], "src string, src_layer string, dst string, dst_layer string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = network.aggregate_edges(MultilayerNetwork.from_edges(e))
+        assert "BroadcastHashJoin [layer" in plan_of(out) and "SortMergeJoin [src_layer" not in plan_of(out)
+        # x: 3 nodes, 2 edges; y: 2 nodes, 1 edge.
+        assert {(r.src, r.dst): r.weight for r in out.collect()} == {("a", "b"): 0.75 + 1.0, ("a", "c"): 0.75}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
