@@ -49,3 +49,47 @@ def test_layers_do_not_gather_in_a_join(spark):
         assert {(r.src, r.dst): r.weight for r in out.collect()} == {("a", "b"): 0.75 + 1.0, ("a", "c"): 0.75}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_wide_follows_the_files(spark, tmp_path, monkeypatch):
+    spark.range(100_000).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert session.wide(t, "id") is t
+    monkeypatch.setattr(session, "TASK_BYTES", 20_000)
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert session.wide(t, "id").rdd.getNumPartitions() == -(-size // 20_000) > 4
+    small = spark.createDataFrame([(1,)], "id long")
+    assert session.wide(small, "id") is small
+
+
+#: Points of each midpoint: one of many points, twins (p4 to p9 have the same midpoints), one of a single point, and random ones.
+POINTS = {"big": range(40), "twins": range(4, 10), "single": [3]} | {f"m{i}": random.Random(i).sample(range(40, 300), 2 + i % 5) for i in range(60)}
+POINTS["few"] = [39, 41]
+
+
+def network_of(spark):
+    rows = [(f"p{p}", m) for m, ps in POINTS.items() for p in ps]
+    e = spark.createDataFrame(rows, "c string, m string")
+    edges = e.select(F.col("c").alias("src"), F.col("m").alias("dst"), F.lit("purchased").alias("etype")).union(e.select("m", "c", F.lit("purchased_by")))
+    labels = [(f"p{p}", "abc"[p % 3]) for p in range(300) if p % 11] + [("p4", "c"), ("p4", "c")]  # p4 has two labels, one of them twice; some have none
+    nodes = spark.createDataFrame([(f"p{p}", "customer") for p in range(300)] + [(m, "brand") for m in POINTS], "node string, ntype string")
+    return nodes, edges, spark.createDataFrame(labels, "node string, label string"), labels
+
+
+def test_midpoints_do_not_gather_in_a_join(spark):
+    nodes, edges, labels, rows = network_of(spark)
+    points = hin.midpoints(nodes, edges, queries.CYCLE)
+    assert "SortMergeJoin [mid" not in plan_of(points)
+    want = {(m, f"p{p}") for m, ps in POINTS.items() for p in ps if len(ps) > 1}
+    assert {(r.mid, r.point) for r in points.collect()} == want
+    own = defaultdict(list)
+    for n, x in rows:
+        own[n].append(x)
+    n, kinds = len(own), {x: len({a for a, b in rows if b == x}) for x in "abc"}
+    for m, w in hin.midpoint_weights(points, labels, "delta").collect():
+        pp = sum(f"p{p}" in own for p in POINTS[m])
+        assert w == pytest.approx(sum(abs(ap / (pp + 1) - (n - ap) / (n - pp + 1)) for ap in kinds.values()))
+    for m, w in hin.midpoint_weights(points, labels, "rf").collect():
+        pp = sum(f"p{p}" in own for p in POINTS[m])
+        tp = {x: sum(own.get(f"p{p}", []).count(x) for p in POINTS[m]) for x in "abc"}
+        assert w == pytest.approx(sum(math.log2(2 + t / max(1, pp - t)) for t in tp.values()))
