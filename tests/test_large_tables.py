@@ -93,3 +93,17 @@ def test_midpoints_do_not_gather_in_a_join(spark):
         pp = sum(f"p{p}" in own for p in POINTS[m])
         tp = {x: sum(own.get(f"p{p}", []).count(x) for p in POINTS[m]) for x in "abc"}
         assert w == pytest.approx(sum(math.log2(2 + t / max(1, pp - t)) for t in tp.values()))
+
+
+def test_the_schema_is_worked_out_once_for_all_cycles(spark, tmp_path):
+    meta = spark.createDataFrame([("a", "e", "b"), ("b", "f", "c"), ("c", "g", "a")], "from_type string, etype string, to_type string").coalesce(1)
+    seen = str(tmp_path / "seen")
+
+    def look(batches):
+        with open(seen, "a") as f:
+            f.write("x")
+        yield from batches
+
+    assert [r.length for r in hin.cycles(meta.mapInPandas(look, meta.schema), "a").collect()] == [3]
+    with open(seen) as f:
+        assert f.read() == "x"
