@@ -95,6 +95,28 @@ def test_midpoints_do_not_gather_in_a_join(spark):
         assert w == pytest.approx(sum(math.log2(2 + t / max(1, pp - t)) for t in tp.values()))
 
 
+@pytest.mark.parametrize("block", [1 << 23, 60])
+@pytest.mark.parametrize("heuristic,most", [("okapi", None), ("idf", 7)])
+def test_sums_of_the_projection_are_those_of_its_pairs(spark, monkeypatch, block, heuristic, most):
+    monkeypatch.setattr(hin, "BLOCK", block)
+    nodes, edges, labels, _ = network_of(spark)
+    points = hin.midpoints(nodes, edges, queries.CYCLE)
+    pairs = hin.decompose(points, labels, heuristic, most=most).groupBy("u").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    want = {r.u: (r.n, pytest.approx(r.w)) for r in pairs.collect()}
+    assert {r.u: (r.partners, r.weight) for r in hin.decomposed(points, labels, heuristic, most=most).collect()} == want
+
+
+def test_a_midpoint_of_many_points_makes_no_pairs(spark, tmp_path):
+    """50,000 customers of one brand and size: 2.5 thousand million pairs, which would not end."""
+    n = spark.range(50_000)
+    n.select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    n.select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    n.select(F.col("id").alias("c_custkey"), F.lit("A").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "b", 2)], "p_partkey int, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries._decomposed("tf")(spark, str(tmp_path)).groupBy("partners", "weight").count().collect()
+    assert [tuple(r) for r in got] == [(50_000, 50_000.0, 50_000)]
+
+
 def test_the_schema_is_worked_out_once_for_all_cycles(spark, tmp_path):
     meta = spark.createDataFrame([("a", "e", "b"), ("b", "f", "c"), ("c", "g", "a")], "from_type string, etype string, to_type string").coalesce(1)
     seen = str(tmp_path / "seen")
