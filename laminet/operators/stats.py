@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from laminet.functions.special import chi2_sf, fisher_column, gamma_q, nelder_mead, t_cdf, zeta
+from laminet.session import cut
 
 # Corrections: p-values by group
 
@@ -53,14 +54,20 @@ CORRECTIONS = {"fdr_bh": benjamini_hochberg, "holm": holm, "holm-sidak": holm_si
 
 
 def enrichment_counts(members: DataFrame, annotations: DataFrame) -> DataFrame:
-    """members: (entity, partition); annotations: (entity, term). (partition, term, inside, outside, size, total) of the terms that a
-    partition has: annotated members and others, the partition's members, all members."""
-    a = members.join(annotations.select("entity", "term").distinct(), "entity")
-    inside = a.groupBy("partition", "term").agg(F.count("*").alias("inside"))
-    every = a.groupBy("term").agg(F.count("*").alias("annotated"))
-    size = members.groupBy("partition").agg(F.count("*").alias("size"))
+    """members: (entity, partition); annotations: (entity, term), or (entity, terms), arrays of terms that go to their members whole.
+    (partition, term, inside, outside, size, total) of the terms that a partition has: annotated members and others, the partition's members,
+    all members."""
+    if "terms" in annotations.columns:
+        own = annotations.select("entity", "terms").repartition("entity").groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+        a = members.join(own, "entity").select("partition", F.explode("terms").alias("term"))
+    else:
+        a = members.join(annotations.select("entity", "term").distinct(), "entity")
+    inside = cut(a.groupBy("partition", "term").agg(F.count("*").alias("inside")), "inside")
+    every = inside.groupBy("term").agg(F.sum("inside").alias("annotated"))
     total = members.agg(F.count("*").alias("total")).withColumn("_j", F.lit(0))
-    out = inside.join(every, "term").join(size, "partition").withColumn("_j", F.lit(0)).join(F.broadcast(total), "_j")
+    # Written, so that it is known to be small where it is: a join by partition would bring a partition's terms into one task.
+    size = cut(members.groupBy("partition").agg(F.count("*").alias("size")).withColumn("_j", F.lit(0)).join(F.broadcast(total), "_j").drop("_j"), "sizes")
+    out = inside.join(every, "term").join(size, "partition")
     return out.select("partition", "term", "inside", (F.col("annotated") - F.col("inside")).alias("outside"), "size", "total")
 
 

@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import pytest
 from laminet import session
+from laminet.functions import special
 from laminet.model import MultilayerNetwork
-from laminet.operators import hin, network, temporal
+from laminet.operators import hin, network, stats, temporal
 from laminet.plans import queries
 from pyspark.sql import functions as F
 
@@ -129,3 +130,23 @@ def test_the_schema_is_worked_out_once_for_all_cycles(spark, tmp_path):
     assert [r.length for r in hin.cycles(meta.mapInPandas(look, meta.schema), "a").collect()] == [3]
     with open(seen) as f:
         assert f.read() == "x"
+
+
+def test_the_exact_test_takes_as_long_as_its_tails():
+    """A table of a thousand million, in which there is no going through all others of its margins."""
+    assert special.fisher_exact(1, 499_999_999, 0, 500_000_000) == 1.0
+    assert special.fisher_exact(20, 499_999_980, 0, 500_000_000) == pytest.approx(2 * 0.5**20, rel=1e-5)
+    plain = lambda a, b, c, d: [math.comb(a + c, x) * math.comb(b + d, a + b - x) / math.comb(a + b + c + d, a + b) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+    for t in ((3, 1, 1, 3), (0, 7, 9, 2), (40, 60, 80, 20), (5, 0, 0, 5), (0, 0, 3, 4), (12, 30, 7, 90)):
+        p, at = plain(*t), t[0] - max(0, t[0] - t[3])
+        assert special.fisher_exact(*t) == pytest.approx(min(1, sum(x for x in p if x <= p[at] * (1 + 1e-7))), rel=1e-9)
+        assert special.fisher_exact(*t, "greater") == pytest.approx(min(1, sum(p[at:])), rel=1e-9) and special.fisher_exact(*t, "less") == pytest.approx(min(1, sum(p[: at + 1])), rel=1e-9)
+
+
+def test_terms_go_to_their_members_whole(spark):
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, None)], "entity long, partition string")
+    whole = spark.createDataFrame([(1, ["x", "y"]), (2, ["x", "x"]), (2, ["x", "z"]), (3, None), (4, ["x"])], "entity long, terms array<string>")
+    want = {("a", "x", 2, 2, 2, 5), ("a", "y", 1, 0, 2, 5), ("a", "z", 1, 1, 2, 5), ("b", "x", 1, 3, 2, 5), ("b", "z", 1, 1, 2, 5)}
+    each = whole.select("entity", F.explode("terms").alias("term"))
+    for annotations in (whole, each):
+        assert {tuple(r) for r in stats.enrichment_counts(members, annotations).collect()} == want
