@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from laminet.model import symmetrize
-from laminet.session import cut
+from laminet.session import cut, discard
 
 PAIR = ["src", "dst"]
 
@@ -165,20 +165,29 @@ def label_propagation(edges: DataFrame, labels: DataFrame, alpha: float = 0.001,
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, component), the component being its least name: least labels spread, and labels jump to their labels' labels."""
-    both = cut(symmetrize(edges.select("src", "dst").distinct()).distinct(), "both")
+    """(node, component), the component being its least name. Each node goes to its least neighbour if that is less than itself, and on to
+    where that leads; then edges run between where their ends went, and far fewer are left, until none is."""
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    e = cut(edges.where("src <> dst").select(*pair).distinct(), "edges")
     every = names_of(edges) if nodes is None else nodes.select("node").union(names_of(edges)).distinct()
     label = cut(every.select("node", F.col("node").alias("component")), "labels")
-    while True:
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("_m"))
-        new = label.join(near, label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"), F.col("component").alias("_was"))
-        new = cut(new, "spread")
-        jump = new.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = cut(new.join(jump, new["component"] == jump["_n"]).select("node", F.col("_c").alias("component"), "_was"), "jump")
-        moved = new.where("component <> _was").isEmpty()
-        label = new.select("node", "component")
-        if moved:
-            return label
+    while not e.isEmpty():
+        # The least name of a component never moves, so that it is what all of them come to.
+        to = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "spread")
+        while True:
+            on = to.join(to.toDF("_n", "_on"), F.col("to") == F.col("_n"), "left")
+            new = cut(on.select("node", F.coalesce("_on", "to").alias("to"), F.col("_on").isNotNull().alias("_moved")), "jump")
+            discard(to)
+            to = new.select("node", "to")
+            to.cut_path = new.cut_path
+            if new.where("_moved").isEmpty():
+                break
+        went = label.join(to, label["component"] == to["node"], "left").select(label["node"], F.coalesce("to", "component").alias("component"))
+        x = e.join(to.toDF("b", "src"), "b").join(to.toDF("a", "_a"), "a", "left").select("src", F.coalesce("_a", "a").alias("dst"))
+        went, x = cut(went, "labels"), cut(x.where("src <> dst").select(*pair).distinct(), "edges")
+        discard(label, e, to)
+        label, e = went, x
+    return label
 
 
 def bfs(edges: DataFrame, start: DataFrame, directed: bool = False, most: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from laminet import session
 from laminet.functions import special
 from laminet.model import MultilayerNetwork
-from laminet.operators import hin, network, stats, temporal
+from laminet.operators import community, hin, iterate, network, stats, temporal
 from laminet.plans import queries
 from pyspark.sql import functions as F
 
@@ -150,3 +150,16 @@ def test_terms_go_to_their_members_whole(spark):
     each = whole.select("entity", F.explode("terms").alias("term"))
     for annotations in (whole, each):
         assert {tuple(r) for r in stats.enrichment_counts(members, annotations).collect()} == want
+
+
+def test_components_go_on_with_fewer_edges(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(iterate, "cut", lambda df, name="step": made.append((name, df.count())) or session.cut(df, name))
+    names = [f"n{i:03}" for i in range(200)]
+    random.Random(5).shuffle(names)  # least neighbours lie anywhere on the path
+    ends = list(zip(names, names[1:])) + [("a", f"z{i}") for i in range(50)] + [("b", "b"), ("z1", "z2")]
+    e = spark.createDataFrame(ends, "src string, dst string")
+    got = {r.node: r.component for r in iterate.connected_components(e, spark.createDataFrame([("alone",)], "node string")).collect()}
+    assert got == {n: "n000" for n in names} | {f"z{i}": "a" for i in range(50)} | {"a": "a", "b": "b", "alone": "alone"}
+    edges = [n for name, n in made if name == "edges"]
+    assert edges[0] == 250 and edges[-1] == 0 and all(y <= x / 2 for x, y in zip(edges, edges[1:]))
