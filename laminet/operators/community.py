@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from laminet.operators.iterate import all_ppr, connected_components, names_of, undirected
+from laminet.session import cut
 
 
 def plogp(p: Column) -> Column:
@@ -381,14 +382,19 @@ def relax_links(edges: DataFrame, rate: float = 0.15) -> DataFrame:
 def jensen_shannon(edges: DataFrame) -> DataFrame:
     """(node, layer_a, layer_b, divergence) in bits between a node's out-link distributions in two layers."""
     e = edges.where("src_layer = dst_layer").groupBy("src", F.col("src_layer").alias("layer"), "dst").agg(F.sum("weight").alias("w"))
-    e = e.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("src", "layer"))).select("src", "layer", "dst", "p")
-    layers = e.select("src", "layer").distinct()
-    pairs = layers.toDF("src", "layer_a").join(layers.toDF("src", "layer_b"), "src").where("layer_a < layer_b")
-    p = pairs.join(e.toDF("src", "layer_a", "dst", "x"), ["src", "layer_a"]).select("src", "layer_a", "layer_b", "dst", "x", F.lit(0.0).alias("y"))
-    q = pairs.join(e.toDF("src", "layer_b", "dst", "y"), ["src", "layer_b"]).select("src", "layer_a", "layer_b", "dst", F.lit(0.0).alias("x"), "y")
-    both = p.unionByName(q).groupBy("src", "layer_a", "layer_b", "dst").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    d = 0.5 * plogp(F.col("x")) + 0.5 * plogp(F.col("y")) - plogp((F.col("x") + F.col("y")) / 2)
-    return both.groupBy(F.col("src").alias("node"), "layer_a", "layer_b").agg(F.sum(d).alias("divergence"))
+    e = cut(e, "layers")
+    total = cut(e.groupBy("src", "layer").agg(F.sum("w").alias("t")), "totals")
+    # A link in one layer only adds half its share, so that without common links the divergence is 1; only these are paired.
+    links = e.groupBy("src", "dst").agg(F.collect_list(F.struct("layer", "w")).alias("ls")).where(F.size("ls") > 1)
+    both = links.select("src", F.explode("ls").alias("x"), "ls").select("src", "x", F.explode("ls").alias("y")).where("x.layer < y.layer")
+    both = both.select("src", F.col("x.layer").alias("layer_a"), F.col("y.layer").alias("layer_b"), F.col("x.w").alias("x"), F.col("y.w").alias("y"))
+    both = both.join(total.toDF("src", "layer_a", "_a"), ["src", "layer_a"]).join(total.toDF("src", "layer_b", "_b"), ["src", "layer_b"])
+    x, y = F.col("x") / F.col("_a"), F.col("y") / F.col("_b")
+    d = 0.5 * plogp(x) + 0.5 * plogp(y) - plogp((x + y) / 2) - (x + y) / 2
+    common = both.groupBy("src", "layer_a", "layer_b").agg(F.sum(d).alias("d"))
+    pairs = total.select("src", F.col("layer").alias("layer_a")).join(total.select("src", F.col("layer").alias("layer_b")), "src").where("layer_a < layer_b")
+    out = pairs.join(common, ["src", "layer_a", "layer_b"], "left")
+    return out.select(F.col("src").alias("node"), "layer_a", "layer_b", (1 + F.coalesce("d", F.lit(0.0))).alias("divergence"))
 
 
 def single_linkage(points: DataFrame, k: int, most: int = 3000) -> DataFrame:

@@ -163,3 +163,13 @@ def test_components_go_on_with_fewer_edges(spark, monkeypatch):
     assert got == {n: "n000" for n in names} | {f"z{i}": "a" for i in range(50)} | {"a": "a", "b": "b", "alone": "alone"}
     edges = [n for name, n in made if name == "edges"]
     assert edges[0] == 250 and edges[-1] == 0 and all(y <= x / 2 for x, y in zip(edges, edges[1:]))
+
+
+def test_links_in_one_layer_are_not_paired(spark):
+    rows = [("a", "x", "p", 1.0), ("a", "x", "q", 3.0), ("a", "y", "q", 1.0), ("a", "y", "r", 1.0), ("a", "y", "r", 2.0), ("a", "z", "s", 5.0), ("b", "x", "p", 2.0)]
+    e = spark.createDataFrame([(s, k, d, k, w) for s, k, d, w in rows], "src string, src_layer string, dst string, dst_layer string, weight double")
+    out = community.jensen_shannon(e)
+    assert "Union" not in plan_of(out)
+    x, y = {"p": 0.25, "q": 0.75}, {"q": 0.25, "r": 0.75}
+    want = sum(0.5 * w * math.log2(w / ((x.get(k, 0) + y.get(k, 0)) / 2)) for p in (x, y) for k, w in p.items())
+    assert {(r.node, r.layer_a, r.layer_b): r.divergence for r in out.collect()} == {("a", "x", "y"): pytest.approx(want), ("a", "x", "z"): 1.0, ("a", "y", "z"): 1.0}
