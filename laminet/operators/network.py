@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from laminet.model import COUPLING_TYPES, EDGE_COLUMNS, MultilayerNetwork, edge_table, endpoints
+from laminet.operators.temporal import numbered
+from laminet.session import cut
 
 SRC, DST = ["src", "src_layer"], ["dst", "dst_layer"]
 ENDS = [*SRC, *DST]
@@ -301,12 +303,8 @@ def encode(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _codes(df: DataFrame, key: str) -> DataFrame:
-    """Dense codes of the distinct keys in ascending order: keys are numbered within ranges of about equal sizes, after the counts of the ranges before."""
-    d = df.distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    before = d.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return d.join(before, "_p").select(key, (F.col("_before") + F.col("_k") - 1).cast("long").alias("code"))
+    """Dense codes of the distinct keys in ascending order."""
+    return numbered(df.distinct(), [key], "code").select(key, F.col("code").cast("long").alias("code"))
 
 
 # Matrices
@@ -321,14 +319,20 @@ def node_index(net: MultilayerNetwork) -> DataFrame:
 def supra_adjacency(net: MultilayerNetwork, coupling: bool = False, index: DataFrame | None = None) -> DataFrame:
     """(i, j, v) of the supra-adjacency matrix; parallel edges: the heaviest; both directions unless directed. coupling: with
     the coupling weight between the replicas of each name."""
-    index = node_index(net) if index is None else index
+    own = index is None
+    index = cut(node_index(net), "index") if own else index
     edges = net.get_edges(coupling=False) if coupling else net.edges
+    e = edges.select(*ENDS, "weight").join(index.toDF("src", "src_layer", "i"), SRC).join(index.toDF("dst", "dst_layer", "j"), DST).select("i", "j", "weight")
     if coupling:
-        edges = edges.unionByName(coupling_existing(net.nodes, "coupling", net.config.coupling_weight), allowMissingColumns=True)
-    e = edges.join(index.toDF("src", "src_layer", "i"), SRC).join(index.toDF("dst", "dst_layer", "j"), DST).select("i", "j", "weight")
-    if not net.config.directed:
-        e = e.union(e.where("i <> j").select("j", "i", "weight"))
-    return e.groupBy("i", "j").agg(F.max("weight").alias("v"))
+        # Replicas are numbered already where the index is the network's own.
+        there = index if own else index.join(net.nodes.select("node", "layer").distinct(), ["node", "layer"], "left_semi")
+        a, b = there.select("node", F.col("layer").alias("_a"), "i"), there.select("node", F.col("layer").alias("_b"), F.col("i").alias("j"))
+        e = e.union(a.join(b, "node").where("_a < _b").select("i", "j", F.lit(net.config.coupling_weight).alias("weight")))
+    if net.config.directed:
+        return e.groupBy("i", "j").agg(F.max("weight").alias("v"))
+    e = e.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("weight").alias("v"))
+    turned = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return e.select(F.explode(turned).alias("_e"), "v").select("_e.i", "_e.j", "v")
 
 
 def tensor(net: MultilayerNetwork) -> DataFrame:

@@ -173,3 +173,15 @@ def test_links_in_one_layer_are_not_paired(spark):
     x, y = {"p": 0.25, "q": 0.75}, {"q": 0.25, "r": 0.75}
     want = sum(0.5 * w * math.log2(w / ((x.get(k, 0) + y.get(k, 0)) / 2)) for p in (x, y) for k, w in p.items())
     assert {(r.node, r.layer_a, r.layer_b): r.divergence for r in out.collect()} == {("a", "x", "y"): pytest.approx(want), ("a", "x", "z"): 1.0, ("a", "y", "z"): 1.0}
+
+
+def test_edges_are_merged_before_they_are_turned(spark):
+    rows = [("1", "x", "2", "x", 2.0), ("2", "x", "1", "x", 5.0), ("2", "x", "2", "x", 1.0), ("1", "y", "2", "x", 3.0)]
+    net = MultilayerNetwork.from_edges(spark.createDataFrame(rows, "src string, src_layer string, dst string, dst_layer string, weight double"))
+    assert "Union" not in plan_of(network.supra_adjacency(net))
+    plain = {(0, 2): 5.0, (2, 0): 5.0, (2, 2): 1.0, (1, 2): 3.0, (2, 1): 3.0}  # 1 in x, 1 in y, 2 in x
+    assert {(r.i, r.j): r.v for r in network.supra_adjacency(net).collect()} == plain
+    coupled = plain | {(0, 1): 1.0, (1, 0): 1.0}
+    assert {(r.i, r.j): r.v for r in network.supra_adjacency(net, coupling=True).collect()} == coupled
+    wider = network.node_index(net).union(spark.createDataFrame([("2", "y", 3)], "node string, layer string, i long"))
+    assert {(r.i, r.j): r.v for r in network.supra_adjacency(net, coupling=True, index=wider).collect()} == coupled
